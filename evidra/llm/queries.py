@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import components, quantiles
+from evidra.llm import components, quantiles, sentences
 from evidra.session import table
 
 CAP_CENTS = 2_500_000
@@ -62,7 +62,13 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(p6_found(spark, sf_dir), "record_id", "left").select("record_id", F.coalesce("group_id", "record_id").alias("group_id"))
 
 
-QUERIES = {q.__name__: q for q in (p4_percentiles, p4_claim_stats, p4_day_states, p4_year_percentiles, p6_found, p6_groups)}
+# ---- p9: sentences ---------------------------------------------------------------------------------------------
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every document with its place."""
+    return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {q.__name__: q for q in (p4_percentiles, p4_claim_stats, p4_day_states, p4_year_percentiles, p6_found, p6_groups, p9_found)}
 
 _AMOUNTS = f"""
 with a as (select sweep_day, carrier, claim_consumer_cents cents from arb_claims where claim_consumer_cents is not null),
