@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import components, quantiles, sentences
+from evidra.llm import components, quantiles, sentences, truncation
 from evidra.session import table
 
 CAP_CENTS = 2_500_000
@@ -49,6 +49,20 @@ def p4_year_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.state_percentiles(quantiles.combine(s, keys), keys, PERCENTS)
 
 
+# ---- p5: texts cut off -----------------------------------------------------------------------------------------
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose excerpt, or the title in it, was cut."""
+    return truncation.truncated(table(spark, sf_dir, "records"), "id", "excerpt", "source_id").select("id")
+
+
+def p5_source_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source truncates: rows, rows found cut and their share."""
+    rec = table(spark, sf_dir, "records").select("id", "source_id")
+    cut = p5_found(spark, sf_dir).select(F.col("id").alias("cut_id"))
+    both = rec.join(cut, F.col("id") == F.col("cut_id"), "left").groupBy("source_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count("cut_id").alias("n_cut"))
+    return both.withColumn("share", F.round(F.col("n_cut") / F.col("n_rows"), 6))
+
+
 # ---- p6: groups of linked records ------------------------------------------------------------------------------
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records linked, directly or through others, to another record, with the smallest id of their group."""
@@ -68,7 +82,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p4_percentiles, p4_claim_stats, p4_day_states, p4_year_percentiles, p6_found, p6_groups, p9_found)}
+QUERIES = {q.__name__: q for q in (p4_percentiles, p4_claim_stats, p4_day_states, p4_year_percentiles, p5_found, p5_source_shares, p6_found, p6_groups, p9_found)}
 
 _AMOUNTS = f"""
 with a as (select sweep_day, carrier, claim_consumer_cents cents from arb_claims where claim_consumer_cents is not null),
