@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import components, quantiles, sentences, truncation
-from evidra.session import table
+from evidra.llm import components, mixing, packing, quantiles, sentences, tokens, truncation
+from evidra.session import materialize, table
 
 CAP_CENTS = 2_500_000
 PERCENTS = [10, 25, 50, 75, 90, 99]
@@ -76,13 +76,49 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(p6_found(spark, sf_dir), "record_id", "left").select("record_id", F.coalesce("group_id", "record_id").alias("group_id"))
 
 
+# ---- p7: containers --------------------------------------------------------------------------------------------
+def _copies(text: str) -> Column:
+    """Documents with the same words in the same letter case, apart from white space, are one duplicate cluster."""
+    return F.xxhash64(F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " ")))
+
+
+def _doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", _copies("text").alias("cluster"), "text")
+    return materialize(tokens.token_counts(docs, "text", ["doc_id", "source", "cluster"]), "doc-tokens")[0]
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of every non-blank document, for every container size."""
+    return packing.pack_documents(_doc_tokens(spark, sf_dir), "doc_id", "tokens", "source", "cluster", table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and unused space by container size."""
+    return packing.fill_report(p7_containers(spark, sf_dir))
+
+
+# ---- p8: mixing sources ----------------------------------------------------------------------------------------
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_doc_tokens(spark, sf_dir), "doc_id", "tokens", "source", table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents chosen, each as often as it is used, in the order of their slots."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares by source, and the most that a document is used."""
+    return _mix(spark, sf_dir)[1]
+
+
 # ---- p9: sentences ---------------------------------------------------------------------------------------------
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every document with its place."""
     return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p4_percentiles, p4_claim_stats, p4_day_states, p4_year_percentiles, p5_found, p5_source_shares, p6_found, p6_groups, p9_found)}
+QUERIES = {q.__name__: q for q in (p4_percentiles, p4_claim_stats, p4_day_states, p4_year_percentiles, p5_found, p5_source_shares, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)}
 
 _AMOUNTS = f"""
 with a as (select sweep_day, carrier, claim_consumer_cents cents from arb_claims where claim_consumer_cents is not null),
