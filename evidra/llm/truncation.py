@@ -12,6 +12,9 @@ the lengths around. A value at a limit that ends like a whole one is whole.
 
 from __future__ import annotations
 
+import random
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm.maxent import fit
+from evidra.session import materialize
 
 DIM = 1 << 17
 #: About this many rows are taken for the fit, each once as it is and once cut; never more than 1.5 times as many.
@@ -29,8 +33,6 @@ MARKS = ["…", "…", "...", "...", " …", " ...", " [...]", "[…]"]
 SCRAPS = ["&am", "&quo", "&#x2", "&l", "<b", "</", "\\u00", "�"]
 #: A feature seen less often than this in the fit counts as unknown; each place in the feature list has a weight for that.
 KNOWN_FROM = 4
-_ENDS = r"[.!?。！？।॥۔؟։።;][\"')”’»」）\]]*\s*$"
-_MARK = r"(\s?\[?(?:\.{3}|…)\]?)\s*$"
 
 
 def _kind(src: Column, e: Column) -> Column:
@@ -69,57 +71,68 @@ def with_limits(df: DataFrame, lim: DataFrame) -> DataFrame:
     return df.withColumn("at_e", F.col("l0").isNotNull()).withColumn("at_t", F.col("l1").isNotNull()).drop("s0", "l0", "s1", "l1")
 
 
-def features(df: DataFrame) -> DataFrame:
-    """(id, f): indices of each row's active features."""
-    k, e, title = F.col("kind"), F.col("e"), F.col("title")
-    low = lambda c, n: F.lower(F.regexp_replace(F.right(c, F.lit(n)), r"\d", "9"))
-    num = lambda c: F.regexp_replace(c, r"9+(?:[.,]9+)*", "9")
-
-    def closing(p: str, c: Column, at: Column) -> list[Column]:
-        t = low(c, 60)
-        w = num(t)
-        cls = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.right(c, F.lit(5)), r"\p{Lu}", "A"), r"\p{Ll}", "a"), r"\d", "9")
-        mark, ended = F.regexp_extract(t, _MARK, 1), F.when(t.rlike(_ENDS), "T").otherwise("N")
-        odd = F.concat_ws("", *(((F.length(c) - F.length(F.replace(c, F.lit(q), F.lit("")))) % 2).cast("string") for q in ('"',)), *(F.signum(F.length(F.replace(c, F.lit(b), F.lit(""))) - F.length(F.replace(c, F.lit(a), F.lit("")))).cast("int").cast("string") for a, b in ("()", "“”", "«»", "「」")))
-        x = lambda name, *cs: F.concat_ws("|", F.lit(p + name), k, *cs)
-        return [
-            x("1", F.right(t, F.lit(1))), x("2", F.right(t, F.lit(2))), x("3", F.right(t, F.lit(3))), x("5", F.right(t, F.lit(5))), x("c", cls), x("c2", F.right(cls, F.lit(2))),
-            x("w", F.regexp_extract(w, r"(\S+)\s*$", 1)), x("ww", F.regexp_extract(w, r"(\S+\s+\S+)\s*$", 1)), x("www", F.regexp_extract(w, r"((?:\S+\s+){2}\S+)\s*$", 1)),
-            x("m", mark, F.when(mark != "", F.regexp_extract(w, r"(\S+?)\s?\[?(?:\.{3}|…)\]?\s*$", 1))), x("M", mark), x("T", ended, at.cast("string")), x("u", odd, ended), x("s", c.rlike(r"\s$").cast("string")),
-            x("g", F.regexp_extract(t, r"(&[#a-z0-9]{0,7}|</?[a-z]{0,6}|\\u?[0-9a-f]{0,3}|�)$", 1)),
-        ]
-
-    fs = closing("e", e, F.col("at_e"))
-    news = closing("t", title, F.col("at_t")) + [F.concat_ws("|", F.lit("d"), F.regexp_extract("tail", r"([^.]*)$", 1), (F.col("tail") == "").cast("string")), F.concat_ws("|", F.lit("D"), "tail"), F.concat_ws("|", F.lit("tm"), F.col("at_t").cast("string"), F.regexp_extract(title, _MARK, 1), title.rlike(r"\snothing\.\.\.$").cast("string"))]
-    fields = [
-        F.concat_ws("|", F.lit("kf"), k, F.regexp_extract(e, r"; ([^=;]*=?)[^;]*$", 1)),
-        F.concat_ws("|", F.lit("lf"), k, F.regexp_extract(low(e, 60), r"(?:; | \| )([^;|]*)$", 1)),
-        F.concat_ws("|", F.lit("np"), k, F.least(F.size(F.split(e, r" \| ")), F.lit(6)).cast("string")),
-        F.concat_ws("|", F.lit("cs"), k, F.length(F.regexp_extract(low(e, 60), r"(\S+)$", 1)).cast("string"), F.regexp_extract(low(e, 60), r"(\S+ \S+)$", 1)),
-    ]
-    court = [*fs, *fields, F.concat_ws("|", F.lit("ct"), F.regexp_extract(low(e, 60), r"\| ([a-z]* ?)[^|]*$", 1))]
-    every = F.when(k == "court", F.array(*court)).when(k == "news", F.array(*fs[:3], fs[14], *news)).when(k == "prose", F.array(*fs)).otherwise(F.array(*fs, *fields))
-    idx = F.transform(every, lambda s: (F.pmod(F.xxhash64(s), F.lit(DIM - 1)) + 1).cast("int"))
-    return df.select("id", idx.alias("f"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Each value of ``df`` cut somewhere, or (news) in its title, with or without what cuts leave behind.
-
-    A part of them counts as cut at a limit (``at_e``, ``at_t``): features know a limit only by that flag.
+_NUMBER = re.compile(r"9+(?:[.,]9+)*")
+_DIGITS = str.maketrans("0123456789", "9" * 10)
+_ENDED = re.compile(r"[.!?。！？।॥۔؟։።;][\"')”’»」）\]]*\s*\Z")
+_MARK = re.compile(r"(\s?\[?(?:\.{3}|…)\]?)\s*\Z")
+_SCRAP = re.compile(r"(?:&[#a-z0-9]{0,7}|</?[a-z]{0,6}|\\u?[0-9a-f]{0,3}|�)\Z")
+_FIELD = re.compile(r"; ([^=;]*=?)[^;]*\Z")
+
+
+def _closing(p: str, k: str, c: str, at: bool) -> list[str]:
+    """What the end of ``c`` looks like; ``at``: it has the length of a limit."""
+    t = c[-60:].lower().translate(_DIGITS)
+    words = _NUMBER.sub("9", t).split()
+    last, two, three = words[-1] if words else "", " ".join(words[-2:]), " ".join(words[-3:])
+    cls = "".join("A" if x.isupper() else "a" if x.islower() else "9" if x.isdigit() else x for x in c[-5:])
+    mark = _MARK.search(t[-7:])
+    mark = mark.group(1) if mark else ""
+    before = ""
+    if mark:
+        before = last.rstrip(".…[]") or (words[-2] if len(words) > 1 else "")
+    ended = "T" if _ENDED.search(t[-8:]) else "N"
+    sign = lambda a, b: (c.count(a) > c.count(b)) - (c.count(a) < c.count(b))
+    odd = f"{c.count('"') % 2}{sign('(', ')')}{sign('“', '”')}{sign('«', '»')}{sign('「', '」')}"
+    scrap = _SCRAP.search(t[-9:])
+    p = f"{p}{k}|"
+    return [
+        f"{p}1|{t[-1:]}", f"{p}2|{t[-2:]}", f"{p}3|{t[-3:]}", f"{p}5|{t[-5:]}", f"{p}c|{cls}", f"{p}d|{cls[-2:]}", f"{p}w|{last}", f"{p}x|{two}", f"{p}y|{three}",
+        f"{p}m|{mark}|{before}", f"{p}M|{mark}", f"{p}T|{ended}|{at}", f"{p}u|{odd}|{ended}", f"{p}s|{t[-1:].isspace()}", f"{p}g|{scrap.group() if scrap else ''}",
+    ]
+
+
+def feature_list(e: str, k: str, at_e: bool, at_t: bool) -> list[int]:
+    """Indices of a value's features; their number tells the kind, their place what they are."""
+    end = _closing("e", k, e, at_e)
+    if k == "news":
+        title, sep, tail = e.rpartition(" | ")
+        if not sep:
+            title, tail = e, ""
+        mark = _MARK.search(title[-7:])
+        names = [*end[:3], end[14], *_closing("t", k, title, at_t), f"l|{tail.rpartition('.')[2]}|{tail == ''}", f"L|{tail}", f"tm|{at_t}|{mark.group(1) if mark else ''}|{title.endswith(' nothing...')}"]
+    elif k == "prose":
+        names = end
+    else:
+        t = e[-60:].lower().translate(_DIGITS)
+        field, cell, word = _FIELD.search(e[-120:]), re.split("; | [|] ", t)[-1], t.split(" ")
+        names = [*end, f"kf|{k}|{field.group(1) if field else ''}", f"lf|{k}|{cell}", f"np|{k}|{min(6, e.count(' | '))}", f"cs|{k}|{len(word[-1])}|{' '.join(word[-2:])}"]
+        if k == "court":
+            names.append(f"ct|{re.split('[0-9]', e.rpartition(' | ')[2])[0]}")
+    return [1 + zlib.crc32(x.encode("utf-8", "replace")) % (DIM - 1) for x in names]
+
+
+def cut(e: str, k: str, rnd: random.Random) -> tuple[str, bool, bool]:
+    """``e`` cut somewhere or (news) in its title, with or without what cuts leave behind; whether at a limit of the value, of the title.
+
+    A part of the cuts counts as made by a limit: features know a limit only by that.
     """
-    h = lambda i, n: F.pmod(F.xxhash64("id", F.lit(f"cut{i}")), F.lit(n) if isinstance(n, int) else n)
-    pick = lambda xs, i: F.element_at(F.array(*(F.lit(x) for x in xs)), (h(i, len(xs)) + 1).cast("int"))
-    inside = lambda c, i, low: (h(i, F.greatest(F.length(c) - low - 1, F.lit(1))) + low).cast("int")
-    e, title, how = F.col("e"), F.col("title"), h(2, 10)
-    limited = h(8, 10) < 4
-    left = F.when(how < 5, F.lit("")).when(limited | (how < 8), pick(MARKS, 3)).otherwise(pick(SCRAPS, 3))
-    transfer = F.concat(F.substring(e, F.lit(1), F.least(inside(e, 1, 5), F.length(e) - 1)), left)
-    mark = F.when(h(4, 4) > 0, pick(["…", "...", " ..."], 5)).otherwise(F.lit(""))
-    headline = F.concat(F.substring(title, F.lit(1), F.least(inside(title, 6, 12), F.length(title) - 1)), mark, F.lit(" | "), F.col("tail"))
-    in_title = (F.col("kind") == "news") & (F.col("tail") != "") & (F.length(title) > 14) & (h(7, 100) < 55)
-    df = df.withColumn("e2", F.when(in_title, headline).otherwise(transfer)).withColumn("at_t", in_title & (h(9, 10) < 7)).withColumn("at_e", ~in_title & limited)
-    return _parts(df.withColumn("e", F.col("e2")).drop("title", "tail", "e2").where(F.length("e") > 0))
+    title, sep, tail = e.rpartition(" | ")
+    if k == "news" and sep and len(title) > 14 and rnd.random() < 0.55:
+        mark = "" if rnd.random() < 0.25 else rnd.choice(["…", "...", " ..."])
+        return f"{title[: rnd.randrange(12, len(title))]}{mark} | {tail}", False, rnd.random() < 0.7
+    limited, how = rnd.random() < 0.4, rnd.random()
+    left = "" if how < 0.5 else rnd.choice(MARKS) if limited or how < 0.8 else rnd.choice(SCRAPS)
+    return e[: rnd.randrange(min(5, len(e) - 1), len(e))] + left, limited, False
 
 
 class TruncationModel:
@@ -140,20 +153,25 @@ class TruncationModel:
         return z - np.array([self.least.get(n, 0.0) for n in np.diff(at).tolist()])
 
 
-def train(df: DataFrame, lim: DataFrame, total: int, train_rows: int = TRAIN_ROWS) -> TruncationModel:
-    """A model from about ``train_rows`` rows of ``df``, chosen by a hash of their id."""
+def train(df: DataFrame, total: int, train_rows: int = TRAIN_ROWS) -> TruncationModel:
+    """A model from about ``train_rows`` rows of ``df``(id, e, kind, at_e, at_t), chosen by a hash of their id."""
     part = min(1.0, train_rows / max(1, total))
     some = df.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000)) < int(part * 1_000_000) + 1).limit(int(train_rows * 1.5))
-    whole, made = with_limits(some, lim), cut(some.where(F.length("e") > 8))
-    blind = lambda df: features(df.withColumn("at_e", F.lit(False)).withColumn("at_t", F.lit(False))).select("id", F.col("f").alias("f0"))
-    shown = [features(df).join(blind(df), "id").join(df.select("id", (F.col("at_e") | F.col("at_t")).alias("at")), "id").select("f", "f0", "at", F.lit(y).alias("y")) for df, y in ((whole, 0), (made, 1))]
-    got = shown[0].union(shown[1]).toArrow()
-    lists = [got[c].combine_chunks() for c in ("f", "f0")]
-    flats = [(x.values.to_numpy(), x.offsets.to_numpy()) for x in lists]
-    y, at = np.array(got["y"].to_pylist(), dtype=float), np.array(got["at"].to_pylist(), dtype=bool)
-    known = np.bincount(flats[0][0], minlength=DIM) >= KNOWN_FROM
-    rows, first = [np.split(TruncationModel.index(known, f, o), o[1:-1]) for f, o in flats]
-    size, weights, least = np.array([len(r) for r in rows]), np.zeros(DIM + 64 * 64), {}
+    got = some.select(F.xxhash64("id").alias("h"), "e", "kind", "at_e", "at_t").toPandas().sort_values(["h", "e"])
+    shown, blind, y, at = [], [], [], []
+    for h, e, k, at_e, at_t in got.itertuples(index=False):
+        made = [(e, at_e, at_t, 0)]
+        if len(e) > 8:
+            made.append((*cut(e, k, random.Random(h)), 1))
+        for text, a, b, label in made:
+            shown.append(feature_list(text, k, bool(a), bool(b)))
+            blind.append(feature_list(text, k, False, False))
+            y.append(label)
+            at.append(bool(a or b))
+    y, at, size = np.array(y, dtype=float), np.array(at, dtype=bool), np.array([len(r) for r in shown])
+    known = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *map(np.array, shown)]).astype(np.int64), minlength=DIM) >= KNOWN_FROM
+    rows, first = [_indices(known, xs) for xs in (shown, blind)]
+    weights, least = np.zeros(DIM + 64 * 64), {}
     for n in np.unique(size).tolist():  # kind by kind: features carry it, so only the bias would be shared
         own = np.flatnonzero(size == n)
         w, least[n] = _fit_kind([rows[i] for i in own], [first[i] for i in own], y[own], at[own])
@@ -161,6 +179,13 @@ def train(df: DataFrame, lim: DataFrame, total: int, train_rows: int = TRAIN_ROW
     return TruncationModel(known, weights.astype(np.float32), least)
 
 
+def _indices(known: np.ndarray, lists: list[list[int]]) -> list[np.ndarray]:
+    if not lists:
+        return []
+    at = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    return np.split(TruncationModel.index(known, np.concatenate(lists), at), at[1:-1])
+
+
 def _fit_kind(rows: list[np.ndarray], blind: list[np.ndarray], y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and the score from which a value is more likely cut than whole."""
     dim, made = DIM + 64 * 64, y == 1
@@ -185,17 +210,18 @@ def truncated(rows: DataFrame, id_col: str, text_col: str, source_col: str, *, t
     Null and blank values are not cut; repeated rows each count; a null source is a source of its own;
     long values are read whole; an empty table gives no rows. Other columns are not read.
     """
-    df = shaped(rows, id_col, text_col, source_col)
-    lim = limits(df)
-    model = train(df, lim, rows.count(), train_rows)
+    lim, _ = materialize(limits(shaped(rows, id_col, text_col, source_col)), "limits")
+    df = with_limits(shaped(rows, id_col, text_col, source_col), lim).select("id", "e", "kind", "at_e", "at_t")
+    model = train(df, rows.count(), train_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = b.column("f")
-            at = f.offsets.to_numpy()
-            z = model.scores(f.values.to_numpy(), at)
+            if not b.num_rows:
+                continue
+            lists = [feature_list(*x) for x in zip(*(c.to_pylist() for c in b.columns[1:]))]
+            z = model.scores(np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])]))
             keep = pa.array(z > 0)
             yield pa.RecordBatch.from_arrays([b.column("id").filter(keep), pa.array(z).filter(keep)], ["id", "score"])
 
     kind = dict(rows.dtypes)[id_col]
-    return features(with_limits(df, lim)).mapInArrow(score, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return df.mapInArrow(score, f"id {kind}, score double").withColumnRenamed("id", id_col)
