@@ -13,7 +13,7 @@ more; a shard wastes at most part of its last bins. Copies of one text spread ev
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,12 +28,12 @@ CONFLICTS = (("show_script", "court_filing"), ("ask_answer", "terms_page"))
 def pack(items: list[tuple[int, int, int, int]], capacity: int) -> list[int]:
     """Bins (from 0) of ``items``: (size, source bits, bits of sources it conflicts with, cluster bits), size <= capacity.
 
-    Bins with the same bitmaps and the same free space wait in one list, so the search looks at each
+    Bins with the same bitmaps and the same free space wait in one heap, so the search looks at each
     kind of bin once however many there are. Ties take the bin opened first.
     """
     order = sorted(range(len(items)), key=lambda i: (-items[i][0], i))
     place = [-1] * len(items)
-    # free space -> {(sources, clusters): bins}; ``spaces`` holds the free spaces that have bins, in order
+    # free space -> {(sources, clusters): heap of bins}; ``spaces`` holds the free spaces that have bins, in order
     free: dict[int, dict[tuple[int, int], list[int]]] = {}
     spaces: list[int] = []
     n, before, passed = 0, None, 0
@@ -42,10 +42,9 @@ def pack(items: list[tuple[int, int, int, int]], capacity: int) -> list[int]:
         # What was no place for the same kind of item a moment ago is none now: copies don't search anew.
         k, found = bisect_left(spaces, passed if items[i] == before and cluster else size), None
         while k < len(spaces) and found is None:
-            for kind in free[spaces[k]]:
-                if not (kind[1] & cluster) and not (kind[0] & apart):
-                    found = kind
-                    break
+            fits = [(bins[0], kind) for kind, bins in free[spaces[k]].items() if not (kind[1] & cluster) and not (kind[0] & apart)]
+            if fits:
+                found = min(fits)[1]
             else:
                 k += 1
         if found is None:
@@ -54,7 +53,7 @@ def pack(items: list[tuple[int, int, int, int]], capacity: int) -> list[int]:
         else:
             room, kind = spaces[k], found
             same = free[room][kind]
-            b = same.pop()
+            b = heappop(same)
             if not same:
                 del free[room][kind]
                 if not free[room]:
@@ -66,7 +65,7 @@ def pack(items: list[tuple[int, int, int, int]], capacity: int) -> list[int]:
             if left not in free:
                 free[left] = {}
                 insort(spaces, left)
-            free[left].setdefault(now, []).append(b)
+            heappush(free[left].setdefault(now, []), b)
     return place
 
 
