@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from evidra.operators.skew import salted_lookup
-from evidra.session import new_path
+from evidra.session import materialize, new_path
 
 #: Zone abbreviations and their offsets in seconds.
 ABBREVIATIONS = {
@@ -128,6 +128,10 @@ def parse_texts(texts: DataFrame) -> DataFrame:
     return df.select("raw", "zone", "date_order", F.when(second.between(low, high), second).alias("utc_second"))
 
 
+def _key() -> Column:
+    return F.xxhash64("raw", "zone", "date_order")
+
+
 class InstantDictionary:
     """The table of parsed texts at ``path``; ``update`` adds what is new, ``apply`` joins it to rows."""
 
@@ -140,30 +144,35 @@ class InstantDictionary:
         except AnalysisException:
             return self.spark.createDataFrame([], DICTIONARY)
 
+    @staticmethod
+    def count(rows: DataFrame) -> DataFrame:
+        """Distinct (raw, zone, date_order) of ``rows`` with the number of rows of each, written once: what the other methods need of the rows."""
+        known = rows.where(F.col("raw").isNotNull()).groupBy("raw", "zone", "date_order").agg(F.count(F.lit(1)).alias("n"))
+        return materialize(known.withColumn("key", _key()), "time-texts")[0]
+
     def update(self, rows: DataFrame) -> int:
-        """Parse the (raw, zone, date_order) of ``rows`` that the table lacks and append them; their number."""
-        seen = self.read().withColumn("__k", F.xxhash64("raw", "zone", "date_order")).select("__k", F.col("raw").alias("__raw"), F.col("zone").alias("__zone"), F.col("date_order").alias("__order"))
-        fresh = rows.where(F.col("raw").isNotNull()).groupBy("raw", "zone", "date_order").agg(F.count(F.lit(1)).alias("n")).withColumn("__h", F.xxhash64("raw", "zone", "date_order"))
-        same = (F.col("__h") == F.col("__k")) & (F.col("raw") == F.col("__raw")) & F.col("zone").eqNullSafe(F.col("__zone")) & F.col("date_order").eqNullSafe(F.col("__order"))
-        new = fresh.join(seen, same, "left_anti").select("raw", "zone", "date_order")
-        parse_texts(new).write.mode("append").parquet(self.path)
+        """Parse the texts of ``rows`` that the table lacks and append them; the table's size then."""
+        return self.learn(self.count(rows))
+
+    def learn(self, counts: DataFrame) -> int:
+        old = self.read()
+        seen = old.select(_key().alias("k"), F.col("raw").alias("r"), F.col("zone").alias("z"), F.col("date_order").alias("o"))
+        same = (F.col("key") == F.col("k")) & (F.col("raw") == F.col("r")) & F.col("zone").eqNullSafe(F.col("z")) & F.col("date_order").eqNullSafe(F.col("o"))
+        new = counts if old.isEmpty() else counts.join(seen, same, "left_anti")
+        parse_texts(new.select("raw", "zone", "date_order")).write.mode("append").parquet(self.path)
         return self.read().count()
 
-    def apply(self, rows: DataFrame, ids: list[str]) -> DataFrame:
+    def apply(self, rows: DataFrame, ids: list[str], counts: DataFrame | None = None) -> DataFrame:
         """``ids`` of every row and its ``utc_second``. Texts that many rows share are spread over tasks."""
-        key = F.xxhash64("raw", "zone", "date_order")
-        keyed = rows.withColumn("__key", F.when(F.col("raw").isNotNull(), key))
-        weights = keyed.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
-        # One row per 64-bit key: texts that share a key by accident stay apart inside ``hits``.
-        hits = self.read().withColumn("__key", key).groupBy("__key").agg(F.collect_list(F.struct("raw", "zone", "date_order", "utc_second")).alias("__hits"))
-        lookup = hits.join(weights, "__key")
-        joined = salted_lookup(keyed, lookup, "__key", "__n", self._total(rows), F.struct(*ids))
+        counts = self.count(rows) if counts is None else counts
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        # A row per 64-bit key: texts that share a key by accident stay apart inside ``hits``.
+        weights = counts.groupBy("key").agg(F.sum("n").alias("n"))
+        hits = self.read().groupBy(_key().alias("key")).agg(F.collect_list(F.struct("raw", "zone", "date_order", "utc_second")).alias("hits"))
+        keyed = rows.select(*(F.col(c).alias(f"id{i}") for i, c in enumerate(ids)), "raw", "zone", "date_order", F.when(F.col("raw").isNotNull(), _key()).alias("key"))
+        joined = salted_lookup(keyed, hits.join(weights, "key"), "key", "n", total, F.struct(*(f"id{i}" for i in range(len(ids)))))
         same = lambda h: (h["raw"] == F.col("raw")) & h["zone"].eqNullSafe(F.col("zone")) & h["date_order"].eqNullSafe(F.col("date_order"))
-        return joined.select(*ids, F.try_element_at(F.filter("__hits", same), F.lit(1))["utc_second"].alias("utc_second"))
-
-    @staticmethod
-    def _total(rows: DataFrame) -> int:
-        return rows.count()
+        return joined.select(*(F.col(f"id{i}").alias(c) for i, c in enumerate(ids)), F.try_element_at(F.filter("hits", same), F.lit(1))["utc_second"].alias("utc_second"))
 
 
 def normalise(rows: DataFrame, ids: list[str], dictionary: InstantDictionary | None = None) -> DataFrame:
@@ -175,5 +184,6 @@ def normalise(rows: DataFrame, ids: list[str], dictionary: InstantDictionary | N
     """
     d = dictionary or InstantDictionary(rows.sparkSession)
     slim = rows.select(*ids, "raw", "zone", "date_order")
-    d.update(slim)
-    return d.apply(slim, ids)
+    counts = d.count(slim)
+    d.learn(counts)
+    return d.apply(slim, ids, counts)
