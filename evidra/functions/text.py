@@ -27,11 +27,16 @@ def squeeze(c: Column) -> Column:
     return trim_all(F.regexp_replace(c, r"\s+", " "))
 
 
-def contains_term(text: Column, term: str) -> Column:
-    """Whether ``term`` stands in ``text`` as a whole word or phrase, in any letter case."""
+def _stands_in(low: Column, term: str) -> Column:
+    """``term`` as a whole word in a small-letter text; the pattern only runs where the letters are there at all."""
     special = r".^$*+?()[{\|"
     escaped = "".join("\\" + ch if ch in special else ch for ch in term.lower())
-    return F.lower(text).rlike(f"(?:^|[^a-z0-9]){escaped}(?:[^a-z0-9]|$)")
+    return F.contains(low, F.lit(term.lower())) & low.rlike(f"(?:^|[^a-z0-9]){escaped}(?:[^a-z0-9]|$)")
+
+
+def contains_term(text: Column, term: str) -> Column:
+    """Whether ``term`` stands in ``text`` as a whole word or phrase, in any letter case."""
+    return _stands_in(F.lower(text), term)
 
 
 def any_term(text: Column, terms: list[str]) -> Column:

@@ -6,28 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.text import question_tokens, search_tokens
+from evidra.session import materialize
 
 #: The ranking's parameters and the least weight of a term.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf) and (id, length) of the documents. Null texts have length 0 and no terms."""
+def postings(docs: DataFrame, id_col: str, text_col: str, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(term, id, tf), of ``terms`` if given, and (id, length) of the documents. Null texts have length 0 and no terms.
+
+    Texts are read and cut into words once; what is left of them is written for everything that follows.
+    """
     t = docs.select(F.col(id_col).alias("id"), F.coalesce(search_tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
-    lengths = t.select("id", F.size("tokens").alias("length"))
-    return t.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")), lengths
+    wanted = F.col("tokens") if terms is None else F.filter("tokens", lambda x: x.isin(terms))
+    index, _ = materialize(t.select("id", F.size("tokens").alias("length"), wanted.alias("words")), "index")
+    return index.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf")), index.select("id", "length")
 
 
 def top_documents(docs: DataFrame, id_col: str, text_col: str, questions: DataFrame, most: int = 5, eligible: DataFrame | None = None) -> DataFrame:
     """(qid, id, score, place): the ``most`` best documents of each of ``questions``(qid, question), best first, ties by id.
 
-    Statistics are over all documents; ``eligible``(id) only decides what is shown. Only terms asked for
-    are counted, inside the tokens' array, so no other term leaves the scan.
+    Statistics are over all documents; ``eligible``(id) only decides what is shown. A batch's questions
+    are few words, so they are known to the plan: no other term leaves a document's token array.
     """
     q = questions.select("qid", F.explode(question_tokens(F.col("question"))).alias("term"))
-    terms = q.select("term").distinct()
-    post, lengths = postings(docs, id_col, text_col)
-    post = post.join(F.broadcast(terms), "term", "left_semi")  # terms of the questions at hand: a batch's words
+    terms = [r.term for r in q.select("term").distinct().collect()]
+    post, lengths = postings(docs, id_col, text_col, terms)
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))

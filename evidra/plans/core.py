@@ -458,7 +458,7 @@ def topic_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def cite_or_refuse(spark: SparkSession, d: str) -> DataFrame:
     """Questions with the number of records that hold one of their words; without any there is nothing to cite, so no answer."""
     q = _questions(spark).select("qid", F.explode(text.question_tokens(F.col("question"))).alias("term"))
-    post, _ = search.postings(read(spark, d, "records").select("id", "excerpt"), "id", "excerpt")
+    post, _ = search.postings(read(spark, d, "records").select("id", "excerpt"), "id", "excerpt", [r.term for r in q.select("term").distinct().collect()])
     m = q.join(post, "term").select("qid", "id").distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
     return _questions(spark).join(m, "qid", "left").select("qid", n.alias("matching"), F.when(n > 0, "answered").otherwise("no results").alias("outcome"))
