@@ -24,7 +24,7 @@ BITS = 7
 BROADCAST_GROUPS = 10_000
 
 
-def exact_percentiles(rows: DataFrame, keys: list[str], value: str, percents: list[int], *, weight: str | None = None, levels: int = 6, max_passes: int = 70) -> DataFrame:
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, percents: list[int], *, weight: str | None = None, levels: int = 8, max_passes: int = 70) -> DataFrame:
     """(*keys, percentile, value, n): the smallest value with at least ``percentile`` % of the group's rows at or below it.
 
     Null values are no rows; null keys form a group; repeated values and rows count as they stand
@@ -63,8 +63,7 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, percents: li
 def bucket_of(v: Column) -> Column:
     """Bucket of a value >= 0: exact below 2 ** BITS, then 2 ** BITS buckets to each power of two; order is kept. Negative values go below all."""
     e = F.length(F.bin(v)) - 1 - BITS
-    big = F.expr(f"({BITS} + 0)")  # keeps the expression bigint
-    return F.when(v < 0, F.lit(-1)).when(v < (1 << BITS), v).otherwise((e.cast("bigint") + 1) * (1 << BITS) + F.call_function("shiftright", v, e) - (1 << BITS)).cast("bigint") + 0 * big
+    return F.when(v < 0, F.lit(-1)).when(v < (1 << BITS), v).otherwise((e.cast("bigint") + 1) * (1 << BITS) + F.call_function("shiftright", v, e) - (1 << BITS)).cast("bigint")
 
 
 def bucket_bounds(b: Column) -> tuple[Column, Column]:

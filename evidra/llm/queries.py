@@ -142,6 +142,12 @@ SQL = {
 select scope, carrier, count(*) claim_capped_rows, cast(sum(cents) as bigint) claim_capped_total_cents, max(case when rn = greatest(1, (n * 50 + 99) // 100) then cents end) claim_median_cents_approx
 from r group by scope, carrier""",
     "p4_day_states": _AMOUNTS + f" select scope, carrier, measure, sweep_day, cast({_BUCKET} as bigint) bucket, count(*) n, cast(sum(cents) as bigint) total from k group by all",
+    "p4_year_percentiles": _AMOUNTS
+    + f""", b as (select year(sweep_day) y, scope, carrier, measure, cast({_BUCKET} as bigint) bucket from k),
+r as (select y, scope, carrier, measure, bucket b, row_number() over (partition by y, scope, carrier, measure order by bucket) rn, count(*) over (partition by y, scope, carrier, measure) n from b),
+e as (select *, b // {1 << quantiles.BITS} - 1 e from r join (values {_PCTS}) t(percentile) on rn = greatest(1, (n * percentile + 99) // 100))
+select cast(y as int) as year, scope, carrier, measure, percentile, n, case when b < {1 << quantiles.BITS} then b else (b - e * {1 << quantiles.BITS}) << e end value_low,
+ case when b < {1 << quantiles.BITS} then b else ((b - e * {1 << quantiles.BITS} + 1) << e) - 1 end value_high from e""",
     "p6_found": """
 with recursive e as (
   select distinct greatest(record_id_a, record_id_b) a, least(record_id_a, record_id_b) b from links
