@@ -9,10 +9,11 @@ exactly, with the storage of just those buckets whose filter matched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from evidra.session import materialize
+from evidra.session import materialize, release
 
 #: Filter size and hash count: with about 3 identifiers a word and 5 bits each, under 0.1 % false hits a bucket.
 IDS_PER_WORD, BITS_PER_ID = 3, 5
@@ -77,3 +78,38 @@ def delivery_rows(df: DataFrame, name: str, id_col: str, key: str, time: str, wi
     Empty identifiers are identifiers. Columns not named are not read.
     """
     return df.select(F.lit(name).alias("tbl"), F.col(id_col).alias("id"), normal_identifier(F.col(key)).alias("ident"), F.coalesce(F.floor(F.col(time) / width), F.lit(-1)).cast("bigint").alias("tb"))
+
+
+class DeliveryStore:
+    """The same over batches as they arrive: ``ingest`` gives a batch's new rows and remembers them at ``path``.
+
+    Storage is partitioned by time bucket; an arriving identifier is looked for only in the partitions
+    whose filter knows it. What came in an earlier batch wins, within a batch the smallest id. ``words``
+    is the filters' size per time bucket, for good; it changes how much is compared, never the result.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, words: int = 1 << 20):
+        self.spark, self.path, self.words = spark, path, words
+
+    def _read(self, part: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
+
+    def ingest(self, rows: DataFrame) -> DataFrame:
+        """(tbl, id) of the rows of ``rows``(tbl, id, ident, tb) to keep; rows without identifier are not for this store."""
+        first = rows.where(F.col("ident").isNotNull()).groupBy("tbl", "ident").agg(F.min(F.struct("id", "tb")).alias("m"))
+        keyed = first.select("tbl", F.col("m.tb").alias("tb"), "ident", F.col("m.id").alias("first_id")).withColumn("h", F.xxhash64("tbl", "ident"))
+        batch, path = materialize(keyed, "delivery-batch")
+        probe = batch.withColumn("word", F.pmod("h", F.lit(self.words))).withColumn("__h", F.xxhash64("h")).withColumn("mask", _mask(F.col("__h")))
+        filters = self._read("filters", "tbl string, tb bigint, word bigint, bits bigint").withColumnRenamed("tb", "hit")
+        maybe = probe.join(filters, ["tbl", "word"]).where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("tbl", "ident", "hit").distinct()
+        stored = self._read("storage", "tbl string, ident string, first_id bigint, tb bigint").select("tbl", "ident", F.col("tb").alias("hit"))
+        known = maybe.join(stored, ["tbl", "ident", "hit"]).select("tbl", "ident").distinct()
+        new, kept = materialize(batch.join(known, ["tbl", "ident"], "left_anti"), "delivery-new")
+        new.select("tbl", "ident", "first_id", "tb").repartition(F.col("tb")).write.mode("append").partitionBy("tb").parquet(f"{self.path}/storage")
+        bits = new.select("tbl", "tb", F.pmod("h", F.lit(self.words)).alias("word"), F.xxhash64("h").alias("__h")).groupBy("tbl", "tb", "word").agg(F.bit_or(_mask(F.col("__h"))).alias("bits"))
+        bits.write.mode("append").parquet(f"{self.path}/filters")
+        release(self.spark, path)
+        return self.spark.read.schema(new.schema).parquet(kept).select("tbl", F.col("first_id").alias("id"))

@@ -8,7 +8,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from evidra.operators.delivery import delivery_rows, keepers, repeats
+from evidra.operators.delivery import DeliveryStore, delivery_rows, keepers, repeats
 from evidra.operators.instants import InstantDictionary, normalise
 from evidra.operators.treeagg import heavy_keys, tree_aggregate
 
@@ -163,3 +163,18 @@ def test_tables_do_not_mix_and_empty(spark):
     assert repeats(delivery_rows(df.limit(0), "x", "id", "key", "at", 10), 2).count() == 0
     long = spark.createDataFrame([(1, "k" * 200_000, 1), (2, "K" * 200_000, 1), (3, "k" * 200_000, 900)], "id bigint, key string, at bigint")
     assert [r.id for r in repeats(delivery_rows(long, "x", "id", "key", "at", 10), 2).collect()] == [3]
+
+
+def test_store_over_batches(spark, tmp_path):
+    rnd = random.Random(8)
+    store, seen, n = DeliveryStore(spark, f"file://{tmp_path}/store", words=64), set(), 0
+    for batch in range(4):
+        rows = [(n + i, rnd.choice([None, f"k{rnd.randrange(80)}"]), rnd.randrange(400)) for i in range(60)]
+        n += 60
+        df = delivery_rows(spark.createDataFrame(rows, "id bigint, key string, at bigint"), "t", "id", "key", "at", 100)
+        want = {}
+        for i, key, _ in rows:
+            if key is not None and key not in seen and key not in want:
+                want[key] = i
+        assert sorted(r.id for r in store.ingest(df).collect()) == sorted(want.values()), batch
+        seen |= set(want)
