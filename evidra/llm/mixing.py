@@ -2,7 +2,7 @@
 
 Slots 0, 1, 2, ... become points of the golden-ratio sequence in [0, 1); the cumulative target weights
 map each point to a source, so every run of slots holds nearly the target shares. A source's slots are
-ranked; its r-th slot takes the r-th block of B tokens of its documents in shuffled order, the source
+ranked; its r-th slot takes the r-th block of B tokens (B need not be whole) of its documents in shuffled order, the source
 beginning again after its last document, at most ``max_repeats`` times. B is the largest block with
 which no source runs out. All ranks and token offsets are two-level sums: no task orders a whole source.
 """
@@ -60,7 +60,7 @@ def mix(sizes: DataFrame, id_col: str, size_col: str, source_col: str, targets:
     plan, _ = materialize(schedule(spark, [(s, w) for s, w, _ in use], slots), "mix-slots")
     ranks = {r.source: r.n for r in plan.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     # The largest block with which no source is used more often than it may be.
-    block = max(1, min(m * stock[s][0] // ranks[s] for s, _, m in use if ranks.get(s)))
+    block = min(m * stock[s][0] / ranks[s] for s, _, m in use if ranks.get(s))
     parts = max(1, max(n for _, n in stock.values()) // PART_ROWS)
     mixed = F.xxhash64("id", F.lit(seed))
     rows = docs.withColumn("__h", mixed).withColumn("part", F.pmod("__h", F.lit(parts)))

@@ -224,3 +224,11 @@ def test_fit_separates():
     w = fit(rows, np.array(y), 64)
     assert all((w[0] + w[r].sum() > 0) == label for r, label in zip(rows, y))
     assert fit([], np.array([]), 4).tolist() == [0, 0, 0, 0] and fit([np.array([1])], np.array([1]), 4)[0] > 0
+
+
+def test_mix_of_few_tokens_keeps_the_cap(spark):
+    df = spark.createDataFrame([(1, 7, "a"), (2, 5, "a"), (3, 900, "b"), (4, 80, "b")], "doc bigint, n bigint, src string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], TARGETS)
+    chosen, report = mixing.mix(df, "doc", "n", "src", targets, slots=4096)
+    assert all(r.most_copies <= r.max_repeats for r in report.collect())
+    assert {(r.doc, r.copy) for r in chosen.where("source = 'a'").collect()} == {(1, 0), (1, 1), (2, 0), (2, 1)}
