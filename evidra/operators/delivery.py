@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from evidra.session import materialize, release
+from evidra.session import exists, materialize
 
 #: Filter size and hash count: with about 3 identifiers a word and 5 bits each, under 0.1 % false hits a bucket.
 IDS_PER_WORD, BITS_PER_ID = 3, 5
@@ -97,19 +97,30 @@ class DeliveryStore:
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
-    def ingest(self, rows: DataFrame) -> DataFrame:
-        """(tbl, id) of the rows of ``rows``(tbl, id, ident, tb) to keep; rows without identifier are not for this store."""
+    def ingest(self, rows: DataFrame, batch: str) -> DataFrame:
+        """(tbl, id) of the rows of ``rows``(tbl, id, ident, tb) to keep; rows without identifier are not for this store.
+
+        ``batch`` names the batch: its answer is written first, so a batch that is ingested again after a
+        failure, or after it was done, gets the same answer.
+        """
+        out, done = f"{self.path}/batches/{batch}", f"{self.path}/done/{batch}"
+        if not exists(self.spark, f"{out}/_SUCCESS"):
+            self._new(rows).write.mode("overwrite").parquet(out)
+        new = self.spark.read.schema("tbl string, tb bigint, ident string, first_id bigint, h bigint").parquet(out)
+        if not exists(self.spark, f"{done}/_SUCCESS"):
+            new.select("tbl", "ident", "first_id", "tb").repartition(F.col("tb")).write.mode("append").partitionBy("tb").parquet(f"{self.path}/storage")
+            bits = new.select("tbl", "tb", F.pmod("h", F.lit(self.words)).alias("word"), F.xxhash64("h").alias("__h")).groupBy("tbl", "tb", "word").agg(F.bit_or(_mask(F.col("__h"))).alias("bits"))
+            bits.write.mode("append").parquet(f"{self.path}/filters")
+            self.spark.range(0).write.mode("overwrite").parquet(done)
+        return new.select("tbl", F.col("first_id").alias("id"))
+
+    def _new(self, rows: DataFrame) -> DataFrame:
         first = rows.where(F.col("ident").isNotNull()).groupBy("tbl", "ident").agg(F.min(F.struct("id", "tb")).alias("m"))
         keyed = first.select("tbl", F.col("m.tb").alias("tb"), "ident", F.col("m.id").alias("first_id")).withColumn("h", F.xxhash64("tbl", "ident"))
-        batch, path = materialize(keyed, "delivery-batch")
+        batch, _ = materialize(keyed, "delivery-batch")
         probe = batch.withColumn("word", F.pmod("h", F.lit(self.words))).withColumn("__h", F.xxhash64("h")).withColumn("mask", _mask(F.col("__h")))
         filters = self._read("filters", "tbl string, tb bigint, word bigint, bits bigint").withColumnRenamed("tb", "hit")
         maybe = probe.join(filters, ["tbl", "word"]).where(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask")).select("tbl", "ident", "hit").distinct()
         stored = self._read("storage", "tbl string, ident string, first_id bigint, tb bigint").select("tbl", "ident", F.col("tb").alias("hit"))
         known = maybe.join(stored, ["tbl", "ident", "hit"]).select("tbl", "ident").distinct()
-        new, kept = materialize(batch.join(known, ["tbl", "ident"], "left_anti"), "delivery-new")
-        new.select("tbl", "ident", "first_id", "tb").repartition(F.col("tb")).write.mode("append").partitionBy("tb").parquet(f"{self.path}/storage")
-        bits = new.select("tbl", "tb", F.pmod("h", F.lit(self.words)).alias("word"), F.xxhash64("h").alias("__h")).groupBy("tbl", "tb", "word").agg(F.bit_or(_mask(F.col("__h"))).alias("bits"))
-        bits.write.mode("append").parquet(f"{self.path}/filters")
-        release(self.spark, path)
-        return self.spark.read.schema(new.schema).parquet(kept).select("tbl", F.col("first_id").alias("id"))
+        return batch.join(known, ["tbl", "ident"], "left_anti").select("tbl", "tb", "ident", "first_id", "h")

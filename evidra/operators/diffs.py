@@ -9,6 +9,8 @@ from pyspark.sql.types import StringType
 
 #: Fixed value: more line pairs than this are compared as sets of lines.
 MOST_CELLS = 500_000
+#: Fixed value: what a comparison of sets says above its lines.
+COARSE = "(coarse diff: inputs too large for line LCS)"
 
 
 def line_diff(old: str, new: str, old_name: str = "old", new_name: str = "new") -> str:
@@ -17,7 +19,7 @@ def line_diff(old: str, new: str, old_name: str = "old", new_name: str = "new")
     head = [f"--- {old_name}", f"+++ {new_name}"]
     if len(a) * len(b) > MOST_CELLS:
         left, right = set(a), set(b)
-        return "\n".join([*head, "(coarse diff: inputs too large for line LCS)", *(f"- {x}" for x in a if x not in right), *(f"+ {x}" for x in b if x not in left)])
+        return "\n".join([*head, COARSE, *(f"- {x}" for x in a if x not in right), *(f"+ {x}" for x in b if x not in left)])
     common = [[0] * (len(b) + 1)]
     for x in reversed(a):  # common[-1] is the row of the lines from x on
         below, row = common[-1], [0] * (len(b) + 1)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
+_MADE: list[str] = []
 
 
 def build_session(app: str = "evidra", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -41,12 +44,21 @@ def shared_root(spark: SparkSession) -> str:
     if not (master == "local" or master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_ROOT:
-        _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="evidra-"))
+        folder = tempfile.mkdtemp(prefix="evidra-")
+        atexit.register(shutil.rmtree, folder, True)
+        _LOCAL_ROOT.append("file://" + folder)
     return _LOCAL_ROOT[0]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -64,6 +76,15 @@ def release(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         hp.getFileSystem(hconf).delete(hp, True)
+        if p in _MADE:
+            _MADE.remove(p)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete every intermediate table this application made and no result needs any more; their number."""
+    paths = list(_MADE)
+    release(spark, *paths)
+    return len(paths)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.utils import AnalysisException
 
+from evidra.operators.delivery import DeliveryStore
 from evidra.operators.tables import insert_new
 
 
@@ -39,6 +40,18 @@ def append_new(stream: DataFrame, table: str, checkpoint: str, keys: list[str],
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def deduplicated(stream: DataFrame, store: DeliveryStore, out: str, checkpoint: str) -> StreamingQuery:
+    """(tbl, id) of the rows to keep of a stream of (tbl, id, ident, tb), appended to ``out``: over all batches one per identifier.
+
+    The store answers a repeated batch as it did at first, and ``out`` holds a folder per batch, so nothing is written twice.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        store.ingest(batch, str(n)).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(stream: DataFrame, ts: str, keys: list[str], length: str = "5 minutes", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Counts by event-time window and key; rows later than ``late`` behind the newest are left out."""
     w = F.window(ts, length, slide) if slide else F.window(ts, length)

@@ -176,5 +176,6 @@ def test_store_over_batches(spark, tmp_path):
         for i, key, _ in rows:
             if key is not None and key not in seen and key not in want:
                 want[key] = i
-        assert sorted(r.id for r in store.ingest(df).collect()) == sorted(want.values()), batch
+        assert sorted(r.id for r in store.ingest(df, f"b{batch}").collect()) == sorted(want.values()), batch
+        assert sorted(r.id for r in store.ingest(df, f"b{batch}").collect()) == sorted(want.values())  # the same batch again
         seen |= set(want)

@@ -6,6 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from evidra import taxonomy
+from evidra.operators.delivery import DeliveryStore
 from evidra.sources import feeds, files
 from evidra.streaming import incremental as inc
 
@@ -116,3 +117,23 @@ def test_totals_and_routes(spark, tmp_path):
     assert {r.k: r.s for r in spark.read.parquet(f"file://{tmp_path}/tot").collect()} == {"a": 3, "b": None}
     inc.route(stream(), F.col("v") > 1, f"file://{tmp_path}/ok", f"file://{tmp_path}/bad", f"file://{tmp_path}/c2").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/ok").count() == 1 and spark.read.parquet(f"file://{tmp_path}/bad").count() == 2
+
+
+def test_deduplicated_stream(spark, tmp_path):
+    src, out = tmp_path / "in", f"file://{tmp_path}/out"
+    store = DeliveryStore(spark, f"file://{tmp_path}/store", words=64)
+    run = lambda: inc.deduplicated(inc.json_stream(spark, f"file://{src}", "tbl string, id bigint, ident string, tb bigint"), store, out, f"file://{tmp_path}/chk").awaitTermination()
+    drop(src, "1.json", [{"tbl": "t", "id": i, "ident": k, "tb": i // 2} for i, k in enumerate(["a", "b", "a", None])])
+    run()
+    drop(src, "2.json", [{"tbl": "t", "id": 10 + i, "ident": k, "tb": 9} for i, k in enumerate(["b", "c", "c"])])
+    run()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 11]
+
+
+def test_sweep(spark):
+    from evidra import session
+
+    df, path = session.materialize(spark.range(3), "x")
+    assert session.exists(spark, path) and df.count() == 3
+    session.release(spark, path)
+    assert not session.exists(spark, path)
