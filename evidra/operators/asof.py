@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidra.operators.skew import two_level_last
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
-    """``left`` with ``values`` of the latest ``right`` row of its key at or before its time; nulls where there is none.
 
-    Both sides are put in one order per key and the last right row is carried on: one shuffle, no pairs.
-    Right rows of the same time: the greatest values win.
+def as_of(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], stretch: int = 30 * 86_400) -> DataFrame:
+    """``left`` with ``values`` of the latest ``right`` row of its key at or before its time (numbers of seconds); nulls where there is none.
+
+    Both sides are put in one order per key and the last right row is carried on: no pairs, and no task
+    orders more than a ``stretch`` of a key. Right rows of the same time: the greatest values win.
     """
     names = left.columns
     empty = F.lit(None)
-    l = left.select(F.col(key).alias("__k"), F.col(left_ts).alias("__t"), F.lit(1).alias("__side"), F.struct(*names).alias("__row"), empty.alias("__v"))
-    r = right.select(F.col(key).alias("__k"), F.col(right_ts).alias("__t"), F.lit(0).alias("__side"), empty.alias("__row"), F.struct(*values).alias("__v"))
-    w = Window.partitionBy("__k").orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
-    return both.select("__row.*", *(F.col(f"__last.{v}").alias(v if v not in names else f"{v}_right") for v in values))
+    sides = [
+        left.select(F.col(key).alias("__k"), F.col(left_ts).alias("__t"), F.lit(1).alias("__side"), F.struct(*names).alias("__row"), empty.alias("__v")),
+        right.select(F.col(key).alias("__k"), F.col(right_ts).alias("__t"), F.lit(0).alias("__side"), empty.alias("__row"), F.struct(*values).alias("__v")),
+    ]
+    both = sides[0].unionByName(sides[1]).where(F.col("__t").isNotNull() | F.col("__row").isNotNull()).withColumn("__bucket", F.coalesce(F.floor(F.col("__t") / stretch), F.lit(-(1 << 60))))
+    met = two_level_last(both, "__k", "__bucket", ["__t", "__side", "__v"], "__v", "__last").where("__side = 1")
+    return met.select("__row.*", *(F.col(f"__last.{v}").alias(v if v not in names else f"{v}_right") for v in values))
 
 
 def first_available(left: DataFrame, key: str, options: list[DataFrame], value: str, standing: str) -> DataFrame:

@@ -42,3 +42,17 @@ def two_level_running(df: DataFrame, group: str, bucket: str, order: list[str],
     )
     inner = df.withColumn("__in", F.coalesce(F.sum(value).over(w), F.lit(0)))
     return inner.join(offs, F.col(group).eqNullSafe(F.col("__g")) & (F.col(bucket) == F.col("__b"))).withColumn(out, F.col("__off") + F.col("__in")).drop("__g", "__b", "__off", "__in")
+
+
+def two_level_last(df: DataFrame, group: str, bucket: str, order: list[str], value: str, out: str, include_own: bool = True) -> DataFrame:
+    """The last ``value`` that is not null per ``group`` up to each row in the order (bucket, *order); with ``include_own`` False before it.
+
+    As above, windows only see one (group, bucket); what earlier buckets end with is carried over their totals.
+    """
+    w = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if include_own else -1)
+    known = F.col(value).isNotNull()
+    ends = df.where(known).groupBy(group, bucket).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__e"))
+    every = df.select(group, bucket).distinct().join(ends.select(F.col(group).alias("__g"), F.col(bucket).alias("__b"), "__e"), F.col(group).eqNullSafe(F.col("__g")) & (F.col(bucket) == F.col("__b")), "left")
+    carried = every.select(F.col(group).alias("__cg"), F.col(bucket).alias("__cb"), F.last("__e", ignorenulls=True).over(Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    inner = df.withColumn("__in", F.last(value, ignorenulls=True).over(w))
+    return inner.join(carried, F.col(group).eqNullSafe(F.col("__cg")) & (F.col(bucket) == F.col("__cb"))).withColumn(out, F.coalesce(F.col("__in"), F.col("__carry.v"))).drop("__cg", "__cb", "__carry", "__in")

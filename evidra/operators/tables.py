@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.operators.skew import two_level_last, two_level_running
+
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key in ``order``; null is a key like any other. Rows with unique order columns give one answer."""
@@ -46,15 +48,22 @@ def within_quota(events: DataFrame, keys: list[Column], order: list[str], most:
     return events.withColumn("n", F.row_number().over(w)).withColumn("allowed", F.col("n") <= most)
 
 
-def changed_steps(snapshots: DataFrame, target: str, order: list[str], digest: str) -> DataFrame:
-    """(target, from, to, *order) where a target's digest differs from the one before; the first snapshot is no change."""
-    w = Window.partitionBy(target).orderBy(*order)
-    return snapshots.withColumn("__from", F.lag(digest).over(w)).where(F.col("__from") != F.col(digest)).select(target, *order, F.col("__from").alias("from_hash"), F.col(digest).alias("to_hash"))
+def changed_steps(snapshots: DataFrame, target: str, order: list[str], digest: str, stretch: int = 30 * 86_400) -> DataFrame:
+    """(target, *order, from_hash, to_hash) where a target's digest differs from the one before; the first snapshot is no change.
+
+    ``order`` begins with a number of seconds; no task orders more than a ``stretch`` of a target.
+    """
+    df = snapshots.withColumn("__bucket", F.floor(F.col(order[0]) / stretch))
+    before = two_level_last(df, target, "__bucket", order, digest, "__from", include_own=False)
+    return before.where(F.col("__from") != F.col(digest)).select(target, *order, F.col("__from").alias("from_hash"), F.col(digest).alias("to_hash"))
+
 
+def sessions(events: DataFrame, who: str, order: list[str], starts: Column, values: list[str], stretch: int = 30 * 86_400) -> DataFrame:
+    """Events numbered by session (a new one where ``starts``), each with the last known value so far in its session.
 
-def sessions(events: DataFrame, who: str, order: list[str], starts: Column, values: list[str]) -> DataFrame:
-    """Events numbered by session (a new one where ``starts``), each with the last known value so far in its session."""
-    w = Window.partitionBy(who).orderBy(*order)
-    numbered = events.withColumn("session", F.sum(F.when(starts, 1).otherwise(0)).over(w))
+    ``order`` begins with a number of seconds; sessions are counted stretch by stretch.
+    """
+    df = events.withColumn("__bucket", F.floor(F.col(order[0]) / stretch)).withColumn("__start", F.when(starts, 1).otherwise(0))
+    numbered = two_level_running(df, who, "__bucket", order, "__start", "__before").withColumn("session", F.col("__before") + F.col("__start"))
     s = Window.partitionBy(who, "session").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return numbered.select(who, *order, "session", *(F.last(v, ignorenulls=True).over(s).alias(f"last_{v}") for v in values))

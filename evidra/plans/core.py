@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidra import taxonomy as tx
 from evidra.functions import dates, money, text
 from evidra.operators import amounts, diffs, linking, schedule, search, tables
+from evidra.operators.skew import two_level_last, two_level_running
 from evidra.session import table as read
 
 QUERIES: dict = {}
@@ -342,8 +343,8 @@ def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
 def snapshot_diffs(spark: SparkSession, d: str) -> DataFrame:
     """Line differences between a page's documents in the order of capture, where the text changed."""
     docs = read(spark, d, "documents").where("origin_url is not null and text is not null").select("origin_url", "captured_at", "doc_id", F.regexp_replace("text", r"(?<=[.!?])\s+", "\n").alias("body"))
-    w = Window.partitionBy("origin_url").orderBy("captured_at", "doc_id")
-    pairs = docs.withColumn("old", F.lag("body").over(w)).where(F.sha2("old", 256) != F.sha2("body", 256))
+    docs = docs.withColumn("month", F.year("captured_at") * 12 + F.month("captured_at"))
+    pairs = two_level_last(docs, "origin_url", "month", ["captured_at", "doc_id"], "body", "old", include_own=False).where(F.sha2("old", 256) != F.sha2("body", 256))
     return pairs.select("origin_url", "doc_id", diffs.line_diff_column(F.col("old"), F.col("body"), F.lit("before"), F.lit("after")).alias("diff"))
 
 
@@ -387,9 +388,9 @@ def rotation_plan(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select user_id, event_id, least(60 * pow(2, greatest(0, n - 1)), 3600)::bigint wait_s from (select user_id, event_id, row_number() over (partition by user_id order by epoch, event_id) n from {_EV} where event_type = 'error')")
 def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
     """Seconds to wait after each of a user's errors in turn."""
-    w = Window.partitionBy("user_id").orderBy("epoch", "event_id")
-    e = _events(spark, d).where("event_type = 'error'").withColumn("n", F.row_number().over(w))
-    return e.select("user_id", "event_id", dates.backoff_seconds(F.col("n")).alias("wait_s"))
+    e = _events(spark, d).where("event_type = 'error'").withColumn("week", F.floor(F.col("epoch") / 604_800)).withColumn("one", F.lit(1))
+    e = two_level_running(e, "user_id", "week", ["epoch", "event_id"], "one", "before")
+    return e.select("user_id", "event_id", dates.backoff_seconds(F.col("before") + 1).alias("wait_s"))
 
 
 # ---- texts -----------------------------------------------------------------------------------------------------
