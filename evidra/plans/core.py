@@ -254,7 +254,6 @@ def promo_in_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- table changes ---------------------------------------------------------------------------------------------
-_HALF = "(select cast(max(batch_id) / 2 as bigint) from records)"
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
