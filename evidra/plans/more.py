@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra import taxonomy as tx
-from evidra.functions import dates, money, signals, text
-from evidra.operators import amounts, asof, quality, tables
+from evidra.functions import dates, links, money, signals, text
+from evidra.operators import amounts, asof, quality, queues, tables
 from evidra.plans.core import _EV, _any_sql, _events
 from evidra.session import table as read
 from evidra.sources import collectors, sinks
@@ -166,3 +166,45 @@ def additive_upsert(spark: SparkSession, d: str) -> DataFrame:
 def headline_papers(spark: SparkSession, d: str) -> DataFrame:
     """The paper of headlines that don't name one: the link's host."""
     return read(spark, d, "gdelt_articles").where(~F.col("title").like("% - %")).select("article_id", text.headline_source(F.col("title"), F.col("url")).alias("paper"))
+
+
+_JOBS = "(select o_orderkey id, case o_orderstatus when 'F' then 'done' when 'O' then 'pending' else 'claimed' end status, cast(o_orderkey % 7 as int) attempts, epoch_us(o_orderdate) // 1000000 scheduled_at from orders)"
+_NOW = 820_454_400
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("claimed")
+    return o.select(F.col("o_orderkey").alias("id"), status.alias("status"), (F.col("o_orderkey") % 7).cast("int").alias("attempts"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("scheduled_at"))
+
+
+@query(f"with j as (select * from {_JOBS}), c as (select id from j where status = 'pending' and scheduled_at <= {_NOW} order by id limit 50) select id, case when id in (from c) then 'claimed' else status end status, attempts + (id in (from c))::int attempts, scheduled_at from j")
+def job_claim(spark: SparkSession, d: str) -> DataFrame:
+    """The queue after 50 due jobs were claimed."""
+    return queues.claim(_jobs(spark, d), _NOW, 50)
+
+
+@query(f"""select id, case when status <> 'claimed' then status when id % 2 = 0 then 'done' when attempts >= 5 then 'dead' else 'pending' end status, attempts,
+ case when status = 'claimed' and id % 2 = 1 and attempts < 5 then {_NOW} + least(60 * pow(2, greatest(0, attempts - 1)), 3600)::bigint else scheduled_at end scheduled_at from {_JOBS}""")
+def job_finish(spark: SparkSession, d: str) -> DataFrame:
+    """The queue after every claimed job ended, those with odd ids in an error."""
+    j = _jobs(spark, d)
+    return queues.finish(j, j.where("status = 'claimed'").select("id", F.when(F.col("id") % 2 == 1, "error").alias("error")), _NOW)
+
+
+@query(f"select s status, count(j.id) n from (values ('pending'), ('claimed'), ('done'), ('dead')) v(s) left join {_JOBS} j on s = status group by s")
+def job_depths(spark: SparkSession, d: str) -> DataFrame:
+    return queues.depths(_jobs(spark, d))
+
+
+@query("select delivery_id, 'https://news.ycombinator.com/item?id=' || object_id link from hn_items")
+def item_links(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "hn_items").select("delivery_id", links.item_link(F.col("object_id")).alias("link"))
+
+
+@query("select label, count(*) n from (select 'post' label, uri k from bsky_items where uri is not null union select 'item', object_id from hn_items where object_id is not null) group by 1")
+def distinct_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct keys of two tables in one set."""
+    b = read(spark, d, "bsky_items").where("uri is not null").select(F.lit("post").alias("label"), F.col("uri").alias("k"))
+    h = read(spark, d, "hn_items").where("object_id is not null").select(F.lit("item").alias("label"), F.col("object_id").alias("k"))
+    return b.union(h).distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"))

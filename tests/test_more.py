@@ -93,3 +93,21 @@ def test_checks(spark):
     assert sorted(r.i for r in quality.repeated_runs(runs, "g", "i", "v").collect()) == [2, 7]
     g = spark.createDataFrame([("a", 0, 5), ("a", 5, 5), ("a", 11, 1)], "k string, s int, l int")
     assert [(r.s, r.expected) for r in quality.gaps(g, "k", "s", "l").collect()] == [(11, 10)]
+
+
+def test_links_and_queues(spark):
+    from evidra.functions import links
+    from evidra.operators import queues
+
+    one = spark.createDataFrame([("20240101", "http://a", 2)], "s string, o string, p int")
+    r = one.select(links.capture_link(F.col("s"), F.col("o")).alias("a"), links.capture_link(F.col("s"), F.col("o"), raw=True).alias("b"), links.list_page("http://l", F.col("p")).alias("c"), links.query_link("http://q", q=F.lit("a b"), n=F.lit("1")).alias("d")).first()
+    assert tuple(r) == ("https://web.archive.org/web/20240101/http://a", "https://web.archive.org/web/20240101id_/http://a", "http://l?page=2", "http://q?q=a+b&n=1")
+    jobs = spark.createDataFrame([(1, "pending", 0, 5), (2, "pending", 0, 50), (3, "pending", 4, 1), (4, "done", 1, 0)], "id int, status string, attempts int, scheduled_at bigint")
+    claimed = queues.claim(jobs, 10, 5)
+    assert {x.id: (x.status, x.attempts) for x in claimed.collect()} == {1: ("claimed", 1), 2: ("pending", 0), 3: ("claimed", 5), 4: ("done", 1)}
+    res = spark.createDataFrame([(1, "e"), (3, "e"), (4, "e")], "id int, error string")
+    assert {x.id: (x.status, x.scheduled_at) for x in queues.finish(claimed, res, 100).collect()} == {1: ("pending", 160), 2: ("pending", 50), 3: ("dead", 1), 4: ("done", 0)}
+    assert {x.status: x.n for x in queues.depths(jobs).collect()} == {"pending": 3, "claimed": 0, "done": 1, "dead": 0}
+    assert [x.id for x in queues.newest_of([jobs, jobs.select("id", "scheduled_at")], "scheduled_at", 1).collect()] == [2]
+    asked = spark.createDataFrame([("t", 3), ("t", 1), ("u", 2), ("", 0)], "item string, at int")
+    assert sorted((x.item, x["at"]) for x in queues.first_requests(asked, "item", "at").collect()) == [("t", 1), ("u", 2)]
