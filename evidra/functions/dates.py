@@ -6,8 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def utc_day(epoch: Column) -> Column:
+    """The UTC date of epoch seconds, whatever the session's zone."""
+    return F.date_from_unix_date(F.floor(epoch / F.lit(86_400)).cast("int"))
+
+
+def wall_epoch(c: Column) -> Column:
+    """Seconds of a timestamp without zone read as UTC, whatever the session's zone."""
+    return F.unix_date(c.cast("date")).cast("bigint") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+
+
 def month_of(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM")
+    return F.date_format(utc_day(epoch), "yyyy-MM")
 
 
 def add_months_ym(ym: Column, n: int) -> Column:
@@ -38,13 +48,13 @@ def filing_date(text: Column) -> Column:
 def compact_epoch(text: Column) -> Column:
     """``20240501T120000Z`` (the Z may lack) as epoch seconds, else null."""
     rx = r"^(\d{8})T(\d{6})Z?$"
-    return F.unix_seconds(F.try_to_timestamp(F.when(text.rlike(rx), F.concat(F.regexp_extract(text, rx, 1), F.regexp_extract(text, rx, 2))), F.lit("yyyyMMddHHmmss")))
+    return F.unix_seconds(F.try_to_timestamp(F.when(text.rlike(rx), F.concat(F.regexp_extract(text, rx, 1), F.regexp_extract(text, rx, 2), F.lit("+0000"))), F.lit("yyyyMMddHHmmssZ")))
 
 
 def capture_epoch(stamp: Column) -> Column:
     """An 8 to 14 digit capture stamp as epoch seconds, 0 if it is none."""
     full = F.when(stamp.rlike(r"^\d{8}(\d{2}){0,3}$"), F.rpad(stamp, 14, "0"))
-    return F.coalesce(F.unix_seconds(F.try_to_timestamp(full, F.lit("yyyyMMddHHmmss"))), F.lit(0))
+    return F.coalesce(F.unix_seconds(F.try_to_timestamp(F.concat(full, F.lit("+0000")), F.lit("yyyyMMddHHmmssZ"))), F.lit(0))
 
 
 def backoff_seconds(attempts: Column) -> Column:

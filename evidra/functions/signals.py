@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidra.functions.dates import utc_day
+
 #: Tempo range, full activity, and least sample of a window's mood.
 TEMPO_LOW, TEMPO_HIGH, TEMPO_BAND = 70, 140, 10
 FULL_VELOCITY, LEAST_SAMPLE = 30.0, 5
@@ -34,7 +36,7 @@ def mood(sentiment: Column, n: Column, velocity: Column, least: int = LEAST_SAMP
 
 def loose_date(n: Column) -> Column:
     """A number that is a year, epoch seconds or milliseconds, as text; others as they are, null as null."""
-    day = lambda s: F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd")
+    day = lambda s: utc_day(s).cast("string")
     return F.when(n.between(1900, 2100), n.cast("bigint").cast("string")).when((n >= 1e9) & (n < 1e11), day(n)).when((n >= 1e11) & (n < 1e14), day(n / 1000)).otherwise(n.cast("bigint").cast("string"))
 
 

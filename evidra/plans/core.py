@@ -120,7 +120,7 @@ def carrier_breakdown(spark: SparkSession, d: str) -> DataFrame:
 @query("select carrier, strftime(to_timestamp(record_date) at time zone 'UTC', '%Y') as filed_year, count(*) n from records where carrier is not null and record_date is not null group by 1, 2")
 def yearly_counts(spark: SparkSession, d: str) -> DataFrame:
     r = read(spark, d, "records").where("carrier is not null and record_date is not null")
-    return r.groupBy("carrier", F.date_format(F.timestamp_seconds("record_date"), "yyyy").alias("filed_year")).agg(F.count(F.lit(1)).alias("n"))
+    return r.groupBy("carrier", F.date_format(dates.utc_day(F.col("record_date")), "yyyy").alias("filed_year")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select carrier, id, record_date from (select carrier, id, record_date, row_number() over (partition by carrier order by record_date is null, record_date desc, id) k from records where carrier is not null) where k <= 3")
@@ -309,7 +309,7 @@ def latest_pulls(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- windows and queues on events ------------------------------------------------------------------------------
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"))
+    return read(spark, d, "events").select("event_id", "user_id", "event_type", "value", dates.wall_epoch(F.col("ts")).alias("epoch"))
 
 
 _EV = "(select event_id, user_id, event_type, value, epoch_us(ts) // 1000000 epoch from events)"

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.functions import dates
 from evidra.operators import delivery, instants
 from evidra.operators.treeagg import heavy_keys, tree_aggregate
 from evidra.session import materialize, table
 
-ONE = F.lit
-
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that hold at least 5 % of the rows whose key is not null."""
@@ -23,7 +22,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_carrier_monthly_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CarrierMonthlyMention: rows per source, carrier and month of record_date, else capture_date."""
     rec = table(spark, sf_dir, "records").where(F.col("carrier").isNotNull())
-    month = F.date_format(F.timestamp_seconds(F.coalesce("record_date", "capture_date")), "yyyy-MM")
+    month = dates.month_of(F.coalesce("record_date", "capture_date"))
     return tree_aggregate(rec, {"source_id": F.col("source_id"), "carrier": F.col("carrier"), "month_ym": month}, {"mentions": (F.lit(1), "sum")})
 
 

@@ -78,7 +78,7 @@ def complaints_in_window(spark: SparkSession, d: str) -> DataFrame:
 @query("select id, loc_state, carrier from records where (loc_state is null or loc_state = 'CA') and carrier = 'norvane' and strftime(to_timestamp(record_date) at time zone 'UTC', '%Y-%m-%d') like '2022%'")
 def drill_down(spark: SparkSession, d: str) -> DataFrame:
     """Records of a state and records without one, of a carrier and a year."""
-    day = F.date_format(F.timestamp_seconds("record_date"), "yyyy-MM-dd")
+    day = dates.utc_day(F.col("record_date")).cast("string")
     return read(spark, d, "records").where((F.col("loc_state").isNull() | (F.col("loc_state") == "CA")) & (F.col("carrier") == "norvane") & day.startswith("2022")).select("id", "loc_state", "carrier")
 
 
@@ -175,7 +175,7 @@ _NOW = 820_454_400
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("claimed")
-    return o.select(F.col("o_orderkey").alias("id"), status.alias("status"), (F.col("o_orderkey") % 7).cast("int").alias("attempts"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("scheduled_at"))
+    return o.select(F.col("o_orderkey").alias("id"), status.alias("status"), (F.col("o_orderkey") % 7).cast("int").alias("attempts"), dates.wall_epoch(F.col("o_orderdate")).alias("scheduled_at"))
 
 
 @query(f"with j as (select * from {_JOBS}), c as (select id from j where status = 'pending' and scheduled_at <= {_NOW} order by id limit 50) select id, case when id in (from c) then 'claimed' else status end status, attempts + (id in (from c))::int attempts, scheduled_at from j")
