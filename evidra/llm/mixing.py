@@ -43,14 +43,16 @@ def mix(sizes: DataFrame, id_col: str, size_col: str, source_col: str, targets:
     """The chosen documents (slot, id, source, tokens, copy) and the report
     (source, target_share, actual_share, tokens, documents, copies, most_copies).
 
-    ``targets``(source, target_share, max_repeats): a few rows. Sources with a null name, without target,
+    ``targets``(source, target_share, max_repeats): a few rows; of a source that stands there more than
+    once the shares add up and the greatest number of repeats holds. Sources with a null name, without target,
     a share of 0 or no documents are left out and the remaining shares hold among each other; the report
     has all targets. Sizes of 0 or null count as 0 tokens. Without documents both tables are empty.
     """
     spark = sizes.sparkSession
-    want = [(r.source, float(r.target_share), int(r.max_repeats)) for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").select("source", "target_share", "max_repeats").orderBy("source").limit(10_000).collect()]
+    targets = targets.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    want = [(r.source, float(r.target_share), int(r.max_repeats)) for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").orderBy("source").collect()]
     docs = sizes.select(F.col(id_col).alias("id"), F.coalesce(F.col(size_col), F.lit(0)).cast("bigint").alias("tokens"), F.col(source_col).alias("source"))
-    docs = docs.join(targets.where("target_share > 0 and max_repeats > 0").select(F.col("source").alias("__s")).distinct(), F.col("source") == F.col("__s")).drop("__s")
+    docs = docs.join(targets.where("target_share > 0 and max_repeats > 0").select(F.col("source").alias("__s")), F.col("source") == F.col("__s")).drop("__s")
     docs, _ = materialize(docs, "mix-sizes")
     stock = {r.source: (r.t, r.n) for r in docs.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).where("t > 0").collect()}  # at most a row a target
     use = [x for x in want if x[0] in stock]

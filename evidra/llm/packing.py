@@ -80,9 +80,7 @@ def pack_documents(sizes: DataFrame, id_col: str, size_col: str, source_col: str
     shards = max(1, -(-n // shard_items))
     base = sizes.select(F.col(id_col).alias("id"), F.greatest(F.col(size_col), F.lit(1)).alias("size"), F.col(source_col).alias("source"), F.col(cluster_col).alias("cluster"))
     # Capacities are a few rows of a fixed table: each item is asked for once per capacity.
-    caps = [(r.pack_id, r.capacity_tokens) for r in capacities.select("pack_id", "capacity_tokens").where("capacity_tokens > 0").orderBy("pack_id").limit(1000).collect()]
-    if not caps:
-        caps = []
+    caps = [(r.pack_id, r.capacity_tokens) for r in capacities.select("pack_id", "capacity_tokens").where("capacity_tokens > 0").distinct().orderBy("pack_id").collect()]
     each = F.array(*(F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(c).cast("int").alias("cap")) for p, c in caps)) if caps else F.expr("cast(array() as array<struct<pack_id:int,cap:int>>)")
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     ready = base.withColumn("shard", shard).withColumn("p", F.explode(each)).select("id", "size", "source", "cluster", "shard", "p.pack_id", "p.cap")

@@ -58,7 +58,7 @@ def limits(df: DataFrame, *, least: int = 20, times: float = 4.0) -> DataFrame:
     """
     lens = df.select("src", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.length("e").alias("len"), F.xxhash64("e").alias("h")), F.struct(F.lit(1).alias("part"), F.length("title").alias("len"), F.xxhash64("title").alias("h")))).alias("x")).select("src", "x.*").where("len > 0")
     n = lens.groupBy("src", "part", "len", "h").agg(F.lit(1).alias("o")).groupBy("src", "part", "len").agg(F.count("o").alias("n"))
-    near = n.select("src", "part", F.explode(F.sequence(F.col("len") - 12, F.col("len") + 12)).alias("len"), F.when(F.expr("true"), F.col("n")).alias("m"), F.col("len").alias("from")).where(F.abs(F.col("len") - F.col("from")) > 4)
+    near = n.select("src", "part", F.explode(F.sequence(F.col("len") - 12, F.col("len") + 12)).alias("len"), F.col("n").alias("m"), F.col("len").alias("from")).where(F.abs(F.col("len") - F.col("from")) > 4)
     around = near.groupBy("src", "part", "len").agg((F.sum("m") / 16).alias("m"))
     return n.join(around, ["src", "part", "len"], "left").where((F.col("n") >= least) & (F.col("n") > times * F.coalesce("m", F.lit(0)))).select("src", "part", "len")
 

@@ -199,6 +199,13 @@ def test_schedule_is_even(spark):
         seen[r.source] += 1
 
 
+def test_mix_of_repeated_targets(spark):
+    df = spark.createDataFrame([(i, 10, "a" if i % 2 else "b") for i in range(400)], "doc bigint, n bigint, src string")
+    targets = spark.createDataFrame([("a", 0.25, 1), ("a", 0.25, 2), ("b", 0.5, 1), (None, 0.1, 1), ("c", None, 1)], TARGETS)
+    r = {x.source: x for x in mixing.mix(df, "doc", "n", "src", targets, slots=1024)[1].collect()}
+    assert abs(r["a"].actual_share - 0.5) < 0.02 and r["a"].max_repeats == 2 and set(r) == {"a", "b", "c", None}
+
+
 def test_mix_without_documents(spark):
     df = spark.createDataFrame([], "doc bigint, n bigint, src string")
     chosen, report = mixing.mix(df, "doc", "n", "src", spark.createDataFrame([("a", 1.0, 1)], TARGETS))
