@@ -41,14 +41,15 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, percents: li
         size = open_.agg(F.countDistinct("g").alias("g"), F.max("lines").alias("lines")).first()
         if not size.g:
             break
-        step = F.expr(f"(hi - lo) div {parts} + 1")
-        per = open_.withColumn("step", step).groupBy("g").agg(F.collect_list(F.struct("p", "lo", "hi", "step")).alias("wanted"), F.max("lines").alias("lines"))
-        at = "transform(filter(wanted, x -> v between x.lo and x.hi), x -> struct(x.p as p, (v - x.lo) div x.step as part))"
+        open_ = open_.withColumn("step", F.expr(f"(hi - lo) div {parts} + 1"))
         if size.g <= BROADCAST_GROUPS:
-            met = base.join(F.broadcast(per.drop("lines")), "g")
+            at = open_.select(F.col("g").alias("og"), "p", "lo", "hi", "step")
+            met = base.join(F.broadcast(at), (F.col("g") == F.col("og")) & F.col("v").between(F.col("lo"), F.col("hi"))).select("g", "v", "w", "p", F.expr("(v - lo) div step").alias("part"))
         else:
-            met = salted_lookup(base, per, "g", "lines", base.count(), F.col("v")).where(F.col("wanted").isNotNull())
-        counts = met.select("g", "v", "w", F.explode(F.expr(at)).alias("x")).groupBy("g", "x.p", "x.part").agg(F.sum("w").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+            per = open_.groupBy("g").agg(F.collect_list(F.struct("p", "lo", "hi", "step")).alias("wanted"), F.max("lines").alias("lines"))
+            inside = F.expr("transform(filter(wanted, x -> v between x.lo and x.hi), x -> struct(x.p as p, (v - x.lo) div x.step as part))")
+            met = salted_lookup(base, per, "g", "lines", base.count(), F.col("v")).where(F.col("wanted").isNotNull()).select("g", "v", "w", F.explode(inside).alias("x")).select("g", "v", "w", "x.p", "x.part")
+        counts = met.groupBy("g", "p", "part").agg(F.sum("w").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
         running = F.sum("c").over(Window.partitionBy("g", "p").orderBy("part"))
         cut = counts.withColumn("upto", running).join(state.select("g", "p", "below", "rank", "n", "lines"), ["g", "p"]).where((F.col("below") + F.col("upto") >= F.col("rank")) & (F.col("below") + F.col("upto") - F.col("c") < F.col("rank")))
         narrowed = cut.select("g", "n", "lines", "p", F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("below") + F.col("upto") - F.col("c")).alias("below"), "rank")
