@@ -3,8 +3,8 @@
 Blank lines divide a text into blocks. Within a block, candidates are runs of closing marks that white
 space follows (marks of scripts without spaces need none), and, in Thai, spaces. Candidates inside a
 quotation or parenthesis are none. A maximum-entropy classifier decides the rest from the token before
-and after, its case, length, digits and script, and how often the token ends or starts blocks. It is
-trained without labels: ends of blocks are sure boundaries, candidates before a small letter are surely
+and after, its case, length, digits and script, and how often the token ends or starts blocks, counted
+over all documents. Its weights are fitted on a bounded sample of them, without labels: ends of blocks are sure boundaries, candidates before a small letter are surely
 none. Each cased example is also shown without its case, for texts all in small or capital letters.
 """
 
@@ -14,7 +14,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 from evidra.llm.maxent import fit
 
 DIM = 1 << 18
-#: The classifier is fitted on about this many documents, chosen by a hash of their id; never more than 1.25 times as many.
+#: A token seen less often than this counts as unknown.
+KNOWN_FROM = 3
+#: So many counts are held in a task before they are handed on.
+HELD_COUNTS = 200_000
+#: The classifier's weights are fitted on about this many documents, chosen by a hash of their id; never more than 1.25 times as many.
 TRAIN_DOCS = 6_000
 
 #: Openings further back than this many others are not looked for: time stays linear in the text.
@@ -240,7 +244,7 @@ def _candidates(t: str) -> Iterator[_Cand]:
 
 
 def _bin(part: int, whole: int) -> str:
-    if whole < 3:
+    if whole < KNOWN_FROM:
         return "rare"
     size = "s" if whole < 8 else "m" if whole < 25 else "b"
     r = part / whole
@@ -248,7 +252,7 @@ def _bin(part: int, whole: int) -> str:
 
 
 class SentenceModel:
-    """Weights and the counts of tokens at block ends and starts in the training documents."""
+    """Weights, and of each token seen ``KNOWN_FROM`` times or more (how often, how often at a block's end or start)."""
 
     def __init__(self) -> None:
         self.weights = np.zeros(DIM, dtype=np.float32)
@@ -312,28 +316,68 @@ def _block_end(t: str, follow: str) -> _Cand | None:
     return None
 
 
-def train(texts: list[str]) -> SentenceModel:
-    """A model from unlabelled texts; without texts it cuts nowhere but at blank lines."""
-    model, seen, heads = SentenceModel(), [], Counter()
-    for text in texts:
-        if not text or text.isspace():
-            continue
-        mode, blocks = _case_mode(text), _blocks(text)
+def _examples(text: str | None) -> tuple[list[tuple[_Cand, int]], list[str]]:
+    """Candidates of a text (0) and ends of its blocks (1); the first tokens of blocks whose start no such end counts."""
+    seen, heads, ended = [], [], False
+    blocks = _blocks(text) if text else []
+    for k, (a, b) in enumerate(blocks):
+        t = text[a:b]
+        if not ended:  # else the block before counts its start
+            heads.append(_candidate("", 0, 0, t[:60], False).sk)
         ended = False
-        for k, (a, b) in enumerate(blocks):
-            t = text[a:b]
-            if not ended:  # else the block before counts its start
-                heads[_candidate("", 0, 0, t[:60], False).sk] += 1
-            ended = False
-            seen += [(c, mode, 0) for c in _candidates(t)]
-            if k + 1 < len(blocks) and (c := _block_end(t, text[blocks[k + 1][0] : blocks[k + 1][0] + 60])):
-                seen.append((c, mode, 1))
-                ended = True
-    for table, key in ((model.ends, lambda c: c.ek), (model.pairs, lambda c: f"{c.ek}|{c.cls}"), (model.starts, lambda c: c.sk)):
-        whole, part = Counter(key(c) for c, _, _ in seen), Counter(key(c) for c, _, e in seen if e)
-        if table is model.starts:
-            whole, part = whole + heads, part + heads
-        table.update({k: (n, part[k]) for k, n in whole.items() if n >= 3})
+        seen += [(c, 0) for c in _candidates(t)]
+        if k + 1 < len(blocks) and (c := _block_end(t, text[blocks[k + 1][0] : blocks[k + 1][0] + 60])):
+            seen.append((c, 1))
+            ended = True
+    return seen, heads
+
+
+def _tally(counts: Counter, seen: Iterable[tuple[_Cand, int]], heads: Iterable[str]) -> None:
+    """Add (table, token, whether at a block's end or start) to ``counts``."""
+    for c, end in seen:
+        counts["ends", c.ek, end] += 1
+        counts["pairs", f"{c.ek}|{c.cls}", end] += 1
+        counts["starts", c.sk, end] += 1
+    for sk in heads:
+        counts["starts", sk, 1] += 1
+
+
+def token_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(place, token, n, n_edge) of the tokens seen ``KNOWN_FROM`` times or more in all documents: a pass that shuffles counts only."""
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = Counter()
+        frame = lambda: pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["place", "token", "edge", "n"])
+        for b in batches:
+            for t in b["t"].tolist():
+                _tally(counts, *_examples(t))
+                if len(counts) >= HELD_COUNTS:
+                    yield frame()
+                    counts.clear()
+        if counts:
+            yield frame()
+
+    some = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")).mapInPandas(tally, "place string, token string, edge bigint, n bigint")
+    return some.groupBy("place", "token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("edge")).alias("n_edge")).where(F.col("n") >= KNOWN_FROM)
+
+
+def train(texts: list[str], counts: Iterable[tuple[str, str, int, int]] | None = None) -> SentenceModel:
+    """A model from unlabelled texts; without texts it cuts nowhere but at blank lines.
+
+    ``counts``: rows of ``token_counts`` over documents that include ``texts``; without, those of ``texts``.
+    """
+    model, seen, own = SentenceModel(), [], Counter()
+    for text in texts:
+        found, heads = _examples(text)
+        if counts is None:
+            _tally(own, found, heads)
+        mode = _case_mode(text) if found else "x"
+        seen += [(c, mode, end) for c, end in found]
+    if counts is None:
+        whole = {(p, k): own[p, k, 0] + own[p, k, 1] for p, k, _ in list(own)}
+        counts = [(p, k, n, own[p, k, 1]) for (p, k), n in whole.items() if n >= KNOWN_FROM]
+    for place, token, n, n_edge in counts:
+        getattr(model, place)[token] = (n, n_edge)
     rows, y = [], []
     never = lambda table, key, least: (x := table.get(key, (0, 0)))[0] >= least and not x[1]
     for c, mode, end in seen:
@@ -357,11 +401,12 @@ def train(texts: list[str]) -> SentenceModel:
 
 
 def fit_model(docs: DataFrame, id_col: str, text_col: str, train_docs: int = TRAIN_DOCS) -> SentenceModel:
-    """The model fitted on about ``train_docs`` documents."""
+    """The model with the counts of all documents and weights fitted on about ``train_docs`` of them."""
     share = min(1.0, train_docs / max(1, docs.count()))
     some = docs.where(F.col(text_col).isNotNull() & (F.pmod(F.xxhash64(id_col, F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000) + 1))
     got = some.select(F.col(text_col).alias("t")).limit(train_docs + train_docs // 4).toPandas()
-    return train(got["t"].tolist())
+    counts = token_counts(docs, text_col).toPandas()
+    return train(got["t"].tolist(), zip(*(counts[c].tolist() for c in ("place", "token", "n", "n_edge"))))
 
 
 def sentences(docs: DataFrame, id_col: str, text_col: str, *, model: SentenceModel | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:

@@ -122,6 +122,14 @@ def test_sentences_table(spark, model):
     assert sentences.sentences(df.limit(0), "doc", "body").count() == 0
 
 
+def test_token_counts_cover_all_documents(spark):
+    docs = ["We paid approx. Nine fees. It failed.\n\nA store agent denied it."] * 200 + ["See Qv. Nine of it.\n\nIt failed."] * 40 + [None, "", " \n "]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc bigint, body string")
+    got, whole = sentences.fit_model(df, "doc", "body", train_docs=10), sentences.train(docs)
+    assert got.ends["qv."] == (40, 0) and got.ends["approx."] == (200, 0)
+    assert (got.ends, got.pairs, got.starts) == (whole.ends, whole.pairs, whole.starts)
+
+
 def test_accuracy_on_held_out_texts(model):
     rnd, right, found, made = random.Random(77), 0, 0, 0
     for _ in range(200):
