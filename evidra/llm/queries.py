@@ -24,19 +24,49 @@ def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact percentiles (error bound 0) of claim_consumer_cents by carrier and over all; measure `capped` takes the amounts up to the cap."""
+    """Exact percentiles (error bound 0) of claim_consumer_cents by carrier and over all; measure `capped` takes the amounts up to the cap.
+
+    Carriers without amounts of a measure have no rows here; p4_all_percentiles gives them.
+    """
     p = quantiles.exact_percentiles(_amounts(spark, sf_dir), ["scope", "carrier", "measure"], "cents", PERCENTS)
     return p.withColumn("error_bound", F.lit(0).cast("bigint"))
 
 
 def p4_claim_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ClaimCarrierRow: capped total, rows and median of the amounts up to the cap, by carrier and over all."""
+    """ClaimCarrierRow: capped total, rows and median of the amounts up to the cap, by carrier and over all.
+
+    Carriers without such amounts have no row here; p4_all_claim_stats gives them.
+    """
     capped = _amounts(spark, sf_dir).where(F.col("measure") == "capped")
     median = quantiles.exact_percentiles(capped, ["scope", "carrier"], "cents", [50]).select(F.col("scope").alias("s"), F.col("carrier").alias("c"), F.col("value").alias("claim_median_cents_approx"))
     sums = capped.groupBy("scope", "carrier").agg(F.count(F.lit(1)).alias("claim_capped_rows"), F.sum("cents").alias("claim_capped_total_cents"))
     return sums.join(median, (F.col("scope") == F.col("s")) & F.col("carrier").eqNullSafe(F.col("c"))).drop("s", "c")
 
 
+def _carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scope, carrier) of every carrier of arb_claims, with amounts or without, and of the total."""
+    one = lambda scope, carrier: F.struct(F.lit(scope).alias("scope"), carrier.alias("carrier"))
+    both = F.array(one("carrier", F.col("carrier")), one("all", F.lit(None).cast("string")))
+    return table(spark, sf_dir, "arb_claims").select(F.explode(both).alias("k")).select("k.scope", "k.carrier").distinct()
+
+
+def p4_all_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p4_percentiles with every carrier of arb_claims: where a measure has no amounts, its percentiles are null and n is 0."""
+    found = p4_percentiles(spark, sf_dir).select(F.col("scope").alias("s"), F.col("carrier").alias("c"), F.col("measure").alias("m"), F.col("percentile").alias("p"), "value", "n")
+    wanted = F.array(*(F.struct(F.lit(m).alias("measure"), F.lit(p).alias("percentile")) for m in ("raw", "capped") for p in PERCENTS))
+    keys = _carriers(spark, sf_dir).select("scope", "carrier", F.explode(wanted).alias("w")).select("scope", "carrier", "w.measure", "w.percentile")
+    same = (F.col("scope") == F.col("s")) & F.col("carrier").eqNullSafe(F.col("c")) & (F.col("measure") == F.col("m")) & (F.col("percentile") == F.col("p"))
+    return keys.join(found, same, "left").select("scope", "carrier", "measure", "percentile", "value", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).cast("bigint").alias("error_bound"))
+
+
+def p4_all_claim_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p4_claim_stats with every carrier of arb_claims: without amounts up to the cap, rows and total are 0 and the median is null."""
+    found = p4_claim_stats(spark, sf_dir).withColumnsRenamed({"scope": "s", "carrier": "c"})
+    both = _carriers(spark, sf_dir).join(found, (F.col("scope") == F.col("s")) & F.col("carrier").eqNullSafe(F.col("c")), "left")
+    rows, total = (F.coalesce(c, F.lit(0)).alias(c) for c in ("claim_capped_rows", "claim_capped_total_cents"))
+    return both.select("scope", "carrier", rows, total, "claim_median_cents_approx")
+
+
 def p4_day_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every sweep day adds to the statistics of any span."""
     return quantiles.day_states(_amounts(spark, sf_dir), "sweep_day", ["scope", "carrier", "measure"], "cents")
@@ -118,7 +148,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p4_percentiles, p4_claim_stats, p4_day_states, p4_year_percentiles, p5_found, p5_source_shares, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)}
+QUERIES = {q.__name__: q for q in (p4_percentiles, p4_claim_stats, p4_all_percentiles, p4_all_claim_stats, p4_day_states, p4_year_percentiles, p5_found, p5_source_shares, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)}
 
 _AMOUNTS = f"""
 with a as (select sweep_day, carrier, claim_consumer_cents cents from arb_claims where claim_consumer_cents is not null),
@@ -161,3 +191,11 @@ walk(node, label) using key (node) as (
 select node record_id, label group_id from walk""",
 }
 SQL["p6_groups"] = SQL["p6_found"].replace("select node record_id, label group_id from walk", "select id record_id, coalesce(label, id) group_id from records left join walk on node = id")
+_CARRIERS = "(select distinct 'carrier' scope, carrier from arb_claims union all select distinct 'all', null from arb_claims) c"
+SQL["p4_all_percentiles"] = f"""
+select c.scope, c.carrier, m.measure, p.percentile, s.value, coalesce(s.n, 0) n, cast(0 as bigint) error_bound
+from {_CARRIERS} cross join (values ('raw'), ('capped')) m(measure) cross join (values {_PCTS}) p(percentile)
+left join ({SQL["p4_percentiles"]}) s on s.scope = c.scope and s.carrier is not distinct from c.carrier and s.measure = m.measure and s.percentile = p.percentile"""
+SQL["p4_all_claim_stats"] = f"""
+select c.scope, c.carrier, coalesce(claim_capped_rows, 0) claim_capped_rows, coalesce(claim_capped_total_cents, 0) claim_capped_total_cents, claim_median_cents_approx
+from {_CARRIERS} left join ({SQL["p4_claim_stats"]}) s on s.scope = c.scope and s.carrier is not distinct from c.carrier"""

@@ -17,6 +17,19 @@ def test_against_sql(spark, duck, name):  # noqa: F811
     compare(spark, duck, name)
 
 
+def test_every_carrier_has_statistics(spark):
+    claims = spark.read.parquet(f"{SF}/arb_claims.parquet")
+    carriers = sorted((r.carrier for r in claims.select("carrier").distinct().collect()), key=str)
+    stats = {(r.scope, r.carrier): r for r in queries.p4_all_claim_stats(spark, SF).collect()}
+    assert sorted((c for scope, c in stats if scope == "carrier"), key=str) == carriers and ("all", None) in stats
+    for c in ("drasktel", "haskelair"):  # without amounts, and with amounts above the cap only
+        assert tuple(stats["carrier", c])[2:] == (0, 0, None)
+    got = {(r.carrier, r.measure, r.percentile): r for r in queries.p4_all_percentiles(spark, SF).where("scope = 'carrier'").collect()}
+    assert len(got) == len(carriers) * 2 * len(queries.PERCENTS)
+    assert (got["drasktel", "raw", 50].value, got["drasktel", "raw", 50].n) == (None, 0)
+    assert got["haskelair", "raw", 50].n == 2 and got["haskelair", "capped", 50].value is None
+
+
 def test_containers(spark):
     rows = queries.p7_containers(spark, SF).collect()
     docs = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").where(r"text rlike '[^\\s\\p{Z}]'").collect()}
