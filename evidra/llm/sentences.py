@@ -123,12 +123,7 @@ def _closed_spans(t: str) -> list[tuple[int, int]]:
 
 def _case_mode(text: str) -> str:
     """'n': letters' case tells; 'x': all small, all capital, or no case."""
-    up = low = 0
-    for ch in text[:4000]:
-        if ch.isupper():
-            up += 1
-        elif ch.islower():
-            low += 1
+    up, low = sum(map(str.isupper, text)), sum(map(str.islower, text))
     total = up + low
     if total < 20:
         return "n" if up else "x"

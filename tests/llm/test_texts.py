@@ -122,6 +122,13 @@ def test_sentences_table(spark, model):
     assert sentences.sentences(df.limit(0), "doc", "body").count() == 0
 
 
+def test_case_is_judged_over_the_whole_text():
+    prose = "The notice delayed the last 9 credits in 2021. A store agent denied it last spring. " * 300
+    for head in ("运营商取消了优惠。", "บริษัทยกเลิกเครดิตครับ ", "ALL OF IT IS IN CAPITALS. ", "all of it is in small letters. "):
+        assert sentences._case_mode(head * (4_000 // len(head) + 1) + prose) == "n"
+    assert sentences._case_mode("all of it is in small letters. " * 900) == "x"
+
+
 def test_token_counts_cover_all_documents(spark):
     docs = ["We paid approx. Nine fees. It failed.\n\nA store agent denied it."] * 200 + ["See Qv. Nine of it.\n\nIt failed."] * 40 + [None, "", " \n "]
     df = spark.createDataFrame(list(enumerate(docs)), "doc bigint, body string")
