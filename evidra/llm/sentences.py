@@ -32,9 +32,6 @@ HELD_COUNTS = 200_000
 #: The classifier's weights are fitted on about this many documents, chosen by a hash of their id; never more than 1.25 times as many.
 TRAIN_DOCS = 6_000
 
-#: Openings further back than this many others are not looked for: time stays linear in the text.
-DEEPEST = 32
-
 _LINE = r"(?:\r\n|[\n\r\x85\u2028])"
 _BLANK = re.compile(rf"{_LINE}(?:[^\S\n\r\x85\u2028\u2029]*{_LINE})+|\u2029")
 #: Marks that end sentences; those in NOSPACE also where no space follows.
@@ -64,18 +61,24 @@ def _script(ch: str) -> str:
 
 
 def _closed_spans(t: str) -> list[tuple[int, int]]:
-    """Outermost matched quotations and parentheses of a block, as (opening, closing) places."""
+    """Outermost matched quotations and parentheses of a block, as (opening, closing) places; in linear time at any depth."""
     stack: list[tuple[str, int]] = []
+    depths: dict[str, list[int]] = {}  # where in the stack the openings of a kind are
     spans: list[tuple[int, int]] = []
     n = len(t)
 
+    def open_(kind: str, at: int) -> None:
+        depths.setdefault(kind, []).append(len(stack))
+        stack.append((kind, at))
+
     def close(kinds: str, at: int) -> bool:
-        for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
-            if stack[k][0] in kinds:
-                spans.append((stack[k][1], at))
-                del stack[k:]
-                return True
-        return False
+        k = max((depths[x][-1] for x in set(kinds) if depths.get(x)), default=-1)
+        if k < 0:
+            return False
+        spans.append((stack[k][1], at))
+        while len(stack) > k:
+            depths[stack.pop()[0]].pop()
+        return True
 
     skip = -1
     for m in _QUOTE.finditer(t):
@@ -84,31 +87,31 @@ def _closed_spans(t: str) -> list[tuple[int, int]]:
             continue
         before, after = t[i - 1] if i else " ", t[i + 1] if i + 1 < n else " "
         if c == '"':
-            if any(k == '"' for k, _ in stack):
+            if depths.get('"'):
                 if not (before.isspace() and not after.isspace()):
                     close('"', i)
             elif not after.isspace() and not (before.isalnum() and before < "ɐ"):
-                stack.append((c, i))
+                open_(c, i)
         elif c in "’‘" and after == c:  # doubled: ’’ … ‘‘ (or the other way round)
             skip = i + 1
             if not close("’’‘‘".replace(c, ""), i + 1):
-                stack.append((c, i))
+                open_(c, i)
         elif c == "’":
             if not (before.isalnum() and after.isalnum()):
                 close("‘", i)
         elif c == "“":
             if not close("„", i):
-                stack.append((c, i))
+                open_(c, i)
         elif c == "”":
-            close("“„”", i) or (after.isspace() or stack.append((c, i)))
+            close("“„”", i) or (after.isspace() or open_(c, i))
         elif c == "»":
             if not close("«", i) and not after.isspace():
-                stack.append((c, i))
+                open_(c, i)
         elif c == "«":
             if not close("»", i):
-                stack.append((c, i))
+                open_(c, i)
         elif c in _PAIRS:
-            stack.append((c, i))
+            open_(c, i)
         else:
             close("".join(o for o, x in _PAIRS.items() if c in x), i)
     spans.sort()

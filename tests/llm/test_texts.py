@@ -129,6 +129,13 @@ def test_case_is_judged_over_the_whole_text():
     assert sentences._case_mode("all of it is in small letters. " * 900) == "x"
 
 
+def test_quotations_close_at_any_depth():
+    for between in (31, 32, 33, 500):
+        text = "He said “see " + "( " * between + "one. Two.” and left."
+        assert sentences._closed_spans(text) == [(text.index("“"), text.index("”"))]
+    assert sentences._closed_spans("(" * 100_000 + "”" * 100_000 + ")" * 100_000) == [(0, 299_999)]
+
+
 def test_token_counts_cover_all_documents(spark):
     docs = ["We paid approx. Nine fees. It failed.\n\nA store agent denied it."] * 200 + ["See Qv. Nine of it.\n\nIt failed."] * 40 + [None, "", " \n "]
     df = spark.createDataFrame(list(enumerate(docs)), "doc bigint, body string")
