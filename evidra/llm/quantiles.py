@@ -62,9 +62,12 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, percents: li
 
 
 def bucket_of(v: Column) -> Column:
-    """Bucket of a value >= 0: exact below 2 ** BITS, then 2 ** BITS buckets to each power of two; order is kept. Negative values go below all."""
+    """Bucket of a value >= 0: exact below 2 ** BITS, then 2 ** BITS buckets to each power of two; order is kept.
+
+    A negative value is a bucket of its own, as in the SQL of the day states: exact, but as many buckets as values.
+    """
     e = F.length(F.bin(v)) - 1 - BITS
-    return F.when(v < 0, F.lit(-1)).when(v < (1 << BITS), v).otherwise((e.cast("bigint") + 1) * (1 << BITS) + F.call_function("shiftright", v, e) - (1 << BITS)).cast("bigint")
+    return F.when(v < (1 << BITS), v).otherwise((e.cast("bigint") + 1) * (1 << BITS) + F.call_function("shiftright", v, e) - (1 << BITS)).cast("bigint")
 
 
 def bucket_bounds(b: Column) -> tuple[Column, Column]:

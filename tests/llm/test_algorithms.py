@@ -50,6 +50,16 @@ def test_buckets_and_bounds(spark):
     assert all(r.lo <= r.v <= r.hi and r.hi - r.lo <= max(0, r.lo >> quantiles.BITS) for r in got if r.v >= 0)
 
 
+def test_negative_values_in_states(spark):
+    rnd = random.Random(8)
+    rows = [(d, "a", rnd.randrange(-(10**6), 10**5)) for d in range(4) for _ in range(60)] + [(0, "a", -(2**60)), (1, "a", -1), (2, "a", 0)]
+    df = spark.createDataFrame(rows, "day int, g string, v bigint")
+    states = quantiles.combine(quantiles.day_states(df, "day", ["g"], "v"), ["g"])
+    for r in quantiles.state_percentiles(states, ["g"], [1, 10, 50, 90, 99]).collect():
+        v = exact([v for _, _, v in rows], r.percentile)
+        assert r.value_low <= v <= r.value_high and (v >= 0 or r.value_low == v == r.value_high)
+
+
 def test_days_combine(spark):
     rnd = random.Random(4)
     rows = [(d, rnd.choice("ab"), rnd.randrange(1, 10**6)) for d in range(6) for _ in range(80)]
