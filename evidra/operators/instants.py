@@ -28,7 +28,7 @@ ABBREVIATIONS = {
 }
 #: Month names by their first three letters.
 MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
-#: Two-digit years and open orders are resolved within these years.
+#: Two-digit years and their open orders are resolved within these years, and epochs outside them are none; a four-digit year stands as written.
 FIRST_YEAR, LAST_YEAR = 2016, 2026
 
 _MON = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
@@ -98,7 +98,7 @@ def parse_texts(texts: DataFrame) -> DataFrame:
     short = F.length(p[2]) == 2
     mdy, dmy = _civil(_full_year(p[2]), _int(p[0]), _int(p[1])), _civil(_full_year(p[2]), _int(p[1]), _int(p[0]))
     ymd = F.when(short & (F.length(p[0]) == 2), _civil(_full_year(p[0]), _int(p[1]), _int(p[2])))
-    inside = lambda days: F.when(days.between(F.unix_date(F.make_date(F.lit(FIRST_YEAR), F.lit(1), F.lit(1))), F.unix_date(F.make_date(F.lit(LAST_YEAR), F.lit(12), F.lit(31)))), days)
+    inside = lambda days: F.when(~short | days.between(F.unix_date(F.make_date(F.lit(FIRST_YEAR), F.lit(1), F.lit(1))), F.unix_date(F.make_date(F.lit(LAST_YEAR), F.lit(12), F.lit(31)))), days)
     readings = F.array_distinct(F.array_compact(F.array(*(inside(x) for x in (mdy, dmy, ymd)))))
     named = F.when(F.col("date_order") == "mdy", inside(mdy)).when(F.col("date_order") == "dmy", inside(dmy)).when(F.col("date_order") == "ymd", inside(ymd))
     opened = F.coalesce(named, F.when(F.size(readings) == 1, readings[0]))
@@ -123,9 +123,11 @@ def parse_texts(texts: DataFrame) -> DataFrame:
     df = df.withColumn("__off", offset).withColumn("__wall", wall)
     timed = F.when(F.col("__off").isNotNull(), F.col("__local") - F.col("__off")).when(F.col("__wall") == "UTC", F.col("__local")).otherwise(_wall_to_utc(F.col("__local"), F.col("__wall")))
     epoch = F.regexp_extract("__t", _EPOCH, 1)
-    second = F.when(epoch != "", F.when(epoch != "", epoch).cast("bigint")).when(F.col("__dated"), F.col("__days").cast("bigint") * 86_400).otherwise(timed)
     low, high = int((FIRST_YEAR - 1970) * 365.2425) * 86_400 - 172_800, int((LAST_YEAR + 1 - 1970) * 365.2425) * 86_400 + 172_800
-    return df.select("raw", "zone", "date_order", F.when(second.between(low, high), second).alias("utc_second"))
+    number = F.when(epoch != "", epoch).cast("bigint")
+    second = F.when(epoch != "", F.when(number.between(low, high), number)).when(F.col("__dated"), F.col("__days").cast("bigint") * 86_400).otherwise(timed)
+    two_digits = F.col("__form").isin("open", "dmon", "mond") & short
+    return df.select("raw", "zone", "date_order", F.when(~F.coalesce(two_digits, F.lit(False)) | second.between(low, high), second).alias("utc_second"))
 
 
 def _key() -> Column:

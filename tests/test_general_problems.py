@@ -179,3 +179,11 @@ def test_store_over_batches(spark, tmp_path):
         assert sorted(r.id for r in store.ingest(df, f"b{batch}").collect()) == sorted(want.values()), batch
         assert sorted(r.id for r in store.ingest(df, f"b{batch}").collect()) == sorted(want.values())  # the same batch again
         seen |= set(want)
+
+
+def test_four_digit_years_stand_as_written(spark):
+    from evidra.operators import instants
+
+    want = {"2015-03-01T00:00:00Z": 1425168000, "1 Mar 1999 10:00 UTC": 920282400, "25/12/2040": 2240006400, "20300101": 1893456000, "1 Mar 99": None, "1000000000": None}
+    df = spark.createDataFrame([(t, None, "dmy") for t in want], "raw string, zone string, date_order string")
+    assert {r.raw: r.utc_second for r in instants.parse_texts(df).collect()} == want
