@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, dim: int, *, strength: float = 1.0, rounds: int = 80) -> np.ndarray:
+def fit(rows: list[np.ndarray], y: np.ndarray, dim: int, *, strength: float = 1.0, rounds: int = 80, times: np.ndarray | None = None) -> np.ndarray:
     """Weights of length ``dim``. ``rows``: the indices of each example's active features (repeats count); index 0 is the bias.
+    ``times``: how often each example counts, once if not given.
 
     Mean logistic loss plus ``strength / (2 n)`` times the squared weights, minimised by L-BFGS: the
     result depends on nothing but the examples. Without examples of both classes only the bias is set.
@@ -19,6 +20,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, dim: int, *, strength: float = 1.
     if y.min() == y.max():
         w[0] = 5.0 if y[0] else -5.0
         return w
+    times = np.ones(n) if times is None else np.asarray(times, dtype=float)
+    whole = times.sum()
     sizes = np.fromiter((len(r) for r in rows), dtype=np.int64, count=n)
     flat, owner = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(n), sizes)
     used, local = np.unique(np.concatenate([[0], flat]), return_inverse=True)
@@ -26,9 +29,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, dim: int, *, strength: float = 1.
 
     def value(v: np.ndarray) -> tuple[float, np.ndarray]:
         z = v[0] + np.bincount(owner, weights=v[local], minlength=n)
-        loss = float(np.mean(np.logaddexp(0, z) - y * z)) + strength / (2 * n) * float(v[1:] @ v[1:])
-        d = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / n
-        g = np.bincount(local, weights=d[owner], minlength=m) + strength / n * v
+        loss = float(times @ (np.logaddexp(0, z) - y * z)) / whole + strength / (2 * whole) * float(v[1:] @ v[1:])
+        d = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * times / whole
+        g = np.bincount(local, weights=d[owner], minlength=m) + strength / whole * v
         g[0] = d.sum()
         return loss, g
 

@@ -13,12 +13,13 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,16 +41,20 @@ _MARKS = ".!?…" + _NOSPACE + "．।॥۔؟։።፧។။།𑅁;\u037e"
 _CLOSE = "\"')]}»”’›“‘」』）】》〉«"
 _CAND = re.compile(rf"[{re.escape(_MARKS)}]+(?:\xa0?[{re.escape(_MARKS)}])*[{re.escape(_CLOSE)}]*")
 _THAI = "ก-๛"
+_ANY_THAI = re.compile(f"[{_THAI}]")
+_GREEK = re.compile("[Ͱ-Ͽ]{2}")
 _THAI_GAP = re.compile(rf"(?<=[{_THAI}])[ \t\n\r\u3000]+(?=\S)|(?<=[^\s{_THAI}])[ \t\n\r]+(?=[{_THAI}])")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "«": "»", "„": "“”", "“": "”", "‘": "’", "「": "」", "『": "』", "（": "）", "【": "】", "《": "》", "〈": "〉", "‹": "›"}
 _QUOTE = re.compile(r"[\"()\[\]{}«»„“”‘’「」『』（）【】《》〈〉‹›]")
-_WORD = re.compile(r"\S+\Z")
+_SPACE = re.compile(r"\s")
 _FOREIGN = re.compile(r".*[฀-\u0eff\u3000-\u9fff\uac00-\ud7af\uff00-\uffef]")
 _LISTMARK = re.compile(r"\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)]")
+LONGEST_LISTMARK = 6
 #: List marks and bullets at the head of a unit: what follows them is the unit's first token.
-_HEADMARK = re.compile(r"(?:\((?:\d{1,3}|[A-Za-z]|[ivx]{1,4})\)|(?:\d{1,3}|[a-z]|[ivx]{1,4})\)|\d{1,3}\.|[-•*·–>])\s+(?=\S)")
-#: Next to one of these a mark without a space behind it is part of an address.
-_ADDRESS = re.compile(r"[/@_]|www\.|\.(?:example|com|org|net|test)\b")
+_HEADMARK = re.compile(r"(?:\((?:\d{1,3}|[A-Za-z]|[ivx]{1,4})\)|(?:\d{1,3}|[a-z]|[ivx]{1,4})\)|\d{1,3}\.|[-•*·–>])")
+_HEADS = frozenset("(0123456789abcdefghijklmnopqrstuvwxyz-•*·–>")
+#: A token with one of these is an address, so a mark inside it ends nothing.
+_ADDRESS = re.compile(r"[/@_]|www\.|[^\W\d_A-Z]{2}\.[^\W\d_A-Z]{2}")
 _NEXT = re.compile(r"[^\s.,;:!?…。！？، ؛\"'”’»)」]+")
 
 
@@ -124,9 +129,16 @@ def _closed_spans(t: str) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _cases() -> np.ndarray:
+    """By code point: 1 for a capital, 2 for a small letter, 0 for all else; the last place stands for all planes without case."""
+    return np.array([1 if c.isupper() else 2 if c.islower() else 0 for c in map(chr, range(0x1F000))], dtype=np.uint8)
+
+
 def _case_mode(text: str) -> str:
-    """'n': letters' case tells; 'x': all small, all capital, or no case."""
-    up, low = sum(map(str.isupper, text)), sum(map(str.islower, text))
+    """'n': letters' case tells; 'x': all small, all capital, or no case. Over the whole text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    _, up, low = np.bincount(_cases()[np.minimum(codes, 0x1EFFF)], minlength=3).tolist()
     total = up + low
     if total < 20:
         return "n" if up else "x"
@@ -152,41 +164,82 @@ def _class(nxt: str) -> str:
     return a
 
 
-class _Cand:
-    __slots__ = ("at", "end", "ek", "sk", "cls", "script", "mark", "prev", "quote", "thai", "length")
+class _Left:
+    """What stands before a candidate and its mark, as far as features need it. Equal ones are mostly one object."""
+
+    __slots__ = ("ek", "script", "mark", "digit", "quote", "thai", "length", "kind")
+
+
+class _Right:
+    """The token after a candidate."""
+
+    __slots__ = ("sk", "cls")
 
 
-def _candidate(t: str, mark_at: int, end: int, follow: str, thai: bool) -> _Cand:
-    """What the features need to know of a candidate; ``follow``: the text after it, white space removed."""
-    c = _Cand()
-    c.at, c.end, c.thai = mark_at, end, thai
-    head = t[max(0, mark_at - 40) : mark_at]
-    m = _WORD.search(head)
-    word = m.group().lstrip("\"'([{«„“‘¿¡（「『") if m else ""
+#: So many entries a cache of a task holds before it starts anew.
+CACHED = 1 << 17
+_OPENING = "\"'([{«„“"
+_LEFT: dict[tuple, _Left] = {}
+_RIGHT: dict[str, _Right | None] = {}
+
+
+def _left(t: str, at: int, end: int, thai: bool) -> _Left:
+    """Of the candidate whose mark begins ``at`` and whose closing marks end at ``end``."""
+    head = t[max(0, at - 40) : at]
+    if not head or head[-1].isspace():
+        word = prev = ""
+    else:
+        parts = head.rsplit(None, 2)
+        word, prev = parts[-1], parts[-2] if len(parts) > 1 else ""
+    tail = t[at:end]
+    digit = not prev.isalpha() and prev.lstrip(_OPENING)[-12:][:1].isdigit()
+    key = (word, tail, digit, thai)
+    if (c := _LEFT.get(key)) is not None:
+        return c
+    c = _Left()
+    word = word.lstrip("\"'([{«„“‘¿¡（「『")
     if word and word[-1] < "ɐ" and (x := _FOREIGN.search(word)):
         word = word[x.end() :]
-    if follow and (x := _HEADMARK.match(follow)):
-        follow = follow[x.end() :]
-    tail = t[mark_at:end]
-    last = word[-1] if word else " "
-    c.script = _script(last) if not last.isspace() else "NONE"
+    c.script = _script(word[-1]) if word else "NONE"
     if thai:
         word = word[-4:]
     elif tail[:1] and tail[0] in _NOSPACE:
         word = ""
-    rest = head[: m.start()].split() if m else []
-    c.prev = _shape(rest[-1].lstrip("\"'([{«„“‘"))[-12:] if rest else ""
-    c.mark, c.length = tail, min(len(word), 8)
-    c.ek = f"{_shape(word)[-16:]}{tail}"
-    w = _NEXT.match(follow) or re.match(r"\S", follow)
-    nxt = w.group() if w else ""
-    opener = follow[:1] if follow[:1] in "\"'([{«„“‘¿¡（「『—–-" else ""
-    if opener and len(follow) > 1:
-        w = _NEXT.match(follow, 1)
-        nxt = w.group() if w and w.start() == 1 else nxt
+    shape = _shape(word)[-16:]
+    c.mark, c.length, c.thai, c.digit = re.sub(r"(.)\1+", r"\1\1", tail), min(len(word), 8), thai, "d" if digit else ""
+    c.ek = f"{shape}{tail}"
+    c.kind = "s" if not shape else "i" if len(shape) == 1 else "n" if shape.strip("9.,$%") == "" else "a" if "." in shape else "w"
+    c.quote = "q" if tail[-1:] in "\"'»”’›“‘」』«" else "p" if tail[-1:] in ")]}）】》〉" else ""
+    if len(_LEFT) >= CACHED:
+        _LEFT.clear()
+    _LEFT[key] = c
+    return c
+
+
+def _right_of(token: str) -> _Right:
+    w = _NEXT.match(token)
+    nxt = w.group() if w else token[:1]
+    opener = token[:1] if token[:1] in "\"'([{«„“‘¿¡（「『—–-" else ""
+    if opener and len(token) > 1:
+        w = _NEXT.match(token, 1)
+        nxt = w.group() if w else nxt
+    c = _Right()
     c.cls = _class(nxt)
     c.sk = opener + (_shape(nxt)[:2] if nxt and _script(nxt[0]) in ("CJK", "HIRAGANA", "KATAKANA", "THAI") else _shape(nxt)[:12])
-    c.quote = "q" if tail[-1:] in "\"'»”’›“‘」』«" else "p" if tail[-1:] in ")]}）】》〉" else ""
+    return c
+
+
+def _right(follow: str) -> _Right:
+    """Of the text after a candidate. What stands behind a list mark or bullet is the first token."""
+    tokens = follow.split(None, 2)
+    token = tokens[0] if tokens else ""
+    if len(tokens) > 1 and len(token) < 7 and token[0] in _HEADS and _HEADMARK.fullmatch(token):
+        token = tokens[1]
+    c = _RIGHT.get(token)
+    if c is None:
+        if len(_RIGHT) >= CACHED:
+            _RIGHT.clear()
+        c = _RIGHT[token] = _right_of(token)
     return c
 
 
@@ -207,38 +260,58 @@ def _blocks(text: str) -> list[tuple[int, int]]:
     return res
 
 
-def _candidates(t: str) -> Iterator[_Cand]:
-    """Candidates of a block in order, without its end."""
-    greek = bool(re.search("[Ͱ-Ͽ]{2}", t))
+def _candidates(t: str, thai_text: bool) -> list[tuple[int, int, bool]]:
+    """(mark, end, whether a Thai gap) of the candidates of a block in order, without its end; ``thai_text``: whether to look for gaps."""
+    n, found, token_end, address, greek = len(t), [], -1, False, None
     spans = _closed_spans(t) if _QUOTE.search(t) else []
-    k, n, found, opens = 0, len(t), [], {a for a, _ in spans}
+    opens = [a for a, _ in spans]
     for m in _CAND.finditer(t):
-        run = m.group()
-        if run[0] in ";\u037e" and not greek:
+        at, end = m.span()
+        first = t[at]
+        if not spans and first in ".!?" and end < n and t[end].isspace():
+            found.append((at, end, False))
             continue
-        end = m.end()
-        if run[-1] in _CLOSE:  # an opening quotation may stand right behind
-            end = min((a for a in opens if m.start() < a < end), default=end)
-            if run[0] in _NOSPACE and end == m.end() and run[-1] in "“‘«":
-                end = m.start() + len(run.rstrip("“‘«"))
-        if run[0] not in _NOSPACE and end < n and not t[end].isspace():
-            if end in opens:
-                pass
-            elif not (t[end].isupper() and end + 1 < n and (t[end + 1].islower() or t[end + 1].isspace()) and m.start() and run[0] in ".!?" and not _ADDRESS.search(t, max(0, m.start() - 60), min(n, end + 40))):
+        if first in ";\u037e":
+            if greek is None:
+                greek = bool(_GREEK.search(t))
+            if not greek:
+                continue
+        if spans and t[end - 1] in _CLOSE:  # an opening quotation may stand right behind
+            k = bisect_right(opens, at)
+            inner = opens[k] if k < len(opens) and opens[k] < end else end
+            if first in _NOSPACE and inner == end and t[end - 1] in "“‘«":
+                end = at + len(t[at:end].rstrip("“‘«"))
+            else:
+                end = inner
+        elif first in _NOSPACE and t[end - 1] in "“‘«":
+            end = at + len(t[at:end].rstrip("“‘«"))
+        if end < n and not t[end].isspace() and first not in _NOSPACE and not (opens and opens[min(bisect_left(opens, end), len(opens) - 1)] == end):
+            if not (first in ".!?" and at and t[end].isupper() and end + 1 < n and (t[end + 1].islower() or t[end + 1].isspace())):
+                continue
+            if end >= token_end:  # the token around the mark, each looked at once
+                begin = end - len(t[max(0, token_end, 0) : end].rsplit(None, 1)[-1])
+                gap = _SPACE.search(t, end)
+                token_end = gap.start() if gap else n
+                address = bool(_ADDRESS.search(t, begin, token_end))
+            if address:
                 continue
-        found.append((m.start(), end, False))
-    if re.search(f"[{_THAI}]", t):
+        found.append((at, end, False))
+    if thai_text and _ANY_THAI.search(t):
         taken = {e for _, e, _ in found}
         found += [(m.start(), m.start(), True) for m in _THAI_GAP.finditer(t) if m.start() not in taken]
         found.sort()
-    for a, end, thai in found:
+    if not spans:
+        return [c for c in found if c[1] < n]
+    out, k = [], 0
+    for c in found:
+        at, end, thai = c
         if end >= n:
             continue
         while k < len(spans) and spans[k][1] < end - (not thai):
             k += 1
-        if k < len(spans) and spans[k][0] < a and end <= spans[k][1]:
-            continue
-        yield _candidate(t, a, end, t[end : end + 60].lstrip(), thai)
+        if not (k < len(spans) and spans[k][0] < at and end <= spans[k][1]):
+            out.append(c)
+    return out
 
 
 def _bin(part: int, whole: int) -> str:
@@ -258,43 +331,55 @@ class SentenceModel:
         self.pairs: dict[str, tuple[int, int]] = {}
         self.starts: dict[str, tuple[int, int]] = {}
 
-    def features(self, c: _Cand, mode: str, is_end: int = -1) -> list[int]:
+    def features(self, c: _Left, r: _Right, mode: str, is_end: int = -1) -> list[int]:
         """Indices of the active features. ``is_end`` 0 or 1: leave this example out of the counts."""
         own, end = (1, is_end) if is_end >= 0 else (0, 0)
         te, ee = self.ends.get(c.ek, (own, end))
-        tp, ep = self.pairs.get(f"{c.ek}|{c.cls}", (own, end))
-        ts, es = self.starts.get(c.sk, (own, end))
+        tp, ep = self.pairs.get(f"{c.ek}|{r.cls}", (own, end))
+        ts, es = self.starts.get(r.sk, (own, end))
         eb, pb, sb = _bin(ee - end, te - own), _bin(ep - end, tp - own), _bin(es - end, ts - own)
-        cls = c.cls if mode == "n" else ("x" if c.cls in "Ulc" else c.cls)
-        mark = re.sub(r"(.)\1+", r"\1\1", c.mark)
-        digit = "d" if c.prev[:1].isdigit() or c.prev[:1] == "9" else ""
+        cls = r.cls if mode == "n" else ("x" if r.cls in "Ulc" else r.cls)
+        mark = c.mark
         if c.thai:
             f = [f"T{eb}", f"Ts{sb}", f"Tw{c.ek}", f"Te{eb}{sb}", f"Tc{c.script}{cls}", f"Tl{c.script == 'THAI'}"]
         else:
-            word = c.ek[: len(c.ek) - len(c.mark)]
-            kind = "s" if not word else "i" if len(word) == 1 else "n" if word.strip("9.,$%") == "" else "a" if "." in word else "w"
             f = [
                 f"e{eb}", f"p{pb}", f"s{sb}", f"es{eb}{sb}", f"ps{pb}{sb}", f"c{cls}", f"m{mark}", f"mc{mark}{cls}", f"ec{eb}{cls}", f"w{c.ek}", f"wn{c.ek}|{cls}",
-                f"k{kind}{c.length}", f"kc{kind}{cls}", f"n{c.sk}", f"q{c.quote}{cls}", f"sc{c.script}{mark[:1]}", f"d{digit}{c.ek}",
+                f"k{c.kind}{c.length}", f"kc{c.kind}{cls}", f"n{r.sk}", f"q{c.quote}{cls}", f"sc{c.script}{mark[:1]}", f"d{c.digit}{c.ek}",
             ]
         return [1 + zlib.crc32(x.encode()) % (DIM - 1) for x in f]
 
-    def is_boundary(self, c: _Cand, mode: str) -> bool:
-        w = self.weights
-        return float(w[0]) + sum(float(w[i]) for i in self.features(c, mode)) > 0
+    def is_boundary(self, c: _Left, r: _Right, mode: str) -> bool:
+        """Decided once for each pair of contexts, as long as the cache holds it."""
+        known = self.__dict__.setdefault("_decided", {})
+        if (hit := known.get((c, r, mode))) is None:
+            if len(known) >= CACHED:
+                known.clear()
+            w = self.weights
+            hit = known[c, r, mode] = float(w[0]) + sum(float(w[i]) for i in self.features(c, r, mode)) > 0
+        return hit
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_decided"}
 
     def units(self, text: str | None) -> list[tuple[int, int]]:
         """Places (start, end) of the sentences of a text; none for null and blank texts."""
         if not text or text.isspace():
             return []
-        mode, out = _case_mode(text), []
+        mode, thai, out = _case_mode(text), bool(_ANY_THAI.search(text)), []
+        known = self.__dict__.setdefault("_decided", {})
         for a, b in _blocks(text):
             t, start = text[a:b], 0
-            for c in _candidates(t):
-                if _LISTMARK.fullmatch(t[start : c.end].strip()) or not self.is_boundary(c, mode):
+            for at, end, gap in _candidates(t, thai):
+                if end - start <= LONGEST_LISTMARK and _LISTMARK.fullmatch(t, start, end):
                     continue
-                out.append((a + start, a + c.end))
-                start = c.end
+                c, r = _left(t, at, end, gap), _right(t[end : end + 60])
+                if (ends := known.get((c, r, mode))) is None:
+                    ends = self.is_boundary(c, r, mode)
+                if not ends:
+                    continue
+                out.append((a + start, a + end))
+                start = end
                 while start < len(t) and t[start].isspace():
                     start += 1
             if start < len(t):
@@ -302,60 +387,68 @@ class SentenceModel:
         return out
 
 
-def _block_end(t: str, follow: str) -> _Cand | None:
+def _block_end(t: str) -> tuple[int, int, bool] | None:
     """The end of a block as a candidate, if a closing mark or Thai letter stands there."""
     if "ก" <= t[-1] <= "๛":
-        return _candidate(t, len(t), len(t), follow, True)
+        return len(t), len(t), True
     for m in _CAND.finditer(t, max(0, len(t) - 8)):
         if m.end() == len(t) and m.start():
-            if m.group()[0] in ";\u037e" and not re.search("[Ͱ-Ͽ]{2}", t):
-                return None
-            return _candidate(t, m.start(), m.end(), follow, False)
+            return None if m.group()[0] in ";\u037e" and not _GREEK.search(t) else (m.start(), m.end(), False)
     return None
 
 
-def _examples(text: str | None) -> tuple[list[tuple[_Cand, int]], list[str]]:
+def _examples(text: str | None) -> tuple[list[tuple[_Left, _Right, int]], list[_Right]]:
     """Candidates of a text (0) and ends of its blocks (1); the first tokens of blocks whose start no such end counts."""
     seen, heads, ended = [], [], False
     blocks = _blocks(text) if text else []
+    thai = bool(_ANY_THAI.search(text)) if blocks else False
     for k, (a, b) in enumerate(blocks):
         t = text[a:b]
         if not ended:  # else the block before counts its start
-            heads.append(_candidate("", 0, 0, t[:60], False).sk)
+            heads.append(_right(t[:60]))
         ended = False
-        seen += [(c, 0) for c in _candidates(t)]
-        if k + 1 < len(blocks) and (c := _block_end(t, text[blocks[k + 1][0] : blocks[k + 1][0] + 60])):
-            seen.append((c, 1))
+        seen += [(_left(t, at, end, gap), _right(t[end : end + 60]), 0) for at, end, gap in _candidates(t, thai)]
+        if k + 1 < len(blocks) and (c := _block_end(t)):
+            at = blocks[k + 1][0]
+            seen.append((_left(t, *c), _right(text[at : at + 60]), 1))
             ended = True
     return seen, heads
 
 
-def _tally(counts: Counter, seen: Iterable[tuple[_Cand, int]], heads: Iterable[str]) -> None:
-    """Add (table, token, whether at a block's end or start) to ``counts``."""
-    for c, end in seen:
-        counts["ends", c.ek, end] += 1
-        counts["pairs", f"{c.ek}|{c.cls}", end] += 1
-        counts["starts", c.sk, end] += 1
-    for sk in heads:
-        counts["starts", sk, 1] += 1
+def _tally(contexts: Counter) -> Counter:
+    """Of counted (left or None, right, whether at a block's end or start): counts by (table, token, whether at an edge)."""
+    counts = Counter()
+    for (c, r, end), n in contexts.items():
+        if c is not None:
+            counts["ends", c.ek, end] += n
+            counts["pairs", f"{c.ek}|{r.cls}", end] += n
+        counts["starts", r.sk, end] += n
+    return counts
 
 
 def token_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(place, token, n, n_edge) of the tokens seen ``KNOWN_FROM`` times or more in all documents: a pass that shuffles counts only."""
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = Counter()
-        frame = lambda: pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["place", "token", "edge", "n"])
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts = Counter()
+
+        def rows() -> pa.RecordBatch:
+            counts = _tally(contexts)
+            contexts.clear()
+            places, tokens, edges = zip(*counts)
+            return pa.RecordBatch.from_arrays([pa.array(places), pa.array(tokens), pa.array(edges, pa.int64()), pa.array(list(counts.values()), pa.int64())], ["place", "token", "edge", "n"])
+
         for b in batches:
-            for t in b["t"].tolist():
-                _tally(counts, *_examples(t))
-                if len(counts) >= HELD_COUNTS:
-                    yield frame()
-                    counts.clear()
-        if counts:
-            yield frame()
-
-    some = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")).mapInPandas(tally, "place string, token string, edge bigint, n bigint")
+            for t in b.column(0).to_pylist():
+                seen, heads = _examples(t)
+                contexts.update(seen)
+                contexts.update((None, r, 1) for r in heads)
+                if len(contexts) >= HELD_COUNTS:
+                    yield rows()
+        if contexts:
+            yield rows()
+
+    some = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")).mapInArrow(tally, "place string, token string, edge bigint, n bigint")
     return some.groupBy("place", "token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("edge")).alias("n_edge")).where(F.col("n") >= KNOWN_FROM)
 
 
@@ -364,35 +457,35 @@ def train(texts: list[str], counts: Iterable[tuple[str, str, int, int]] | None =
 
     ``counts``: rows of ``token_counts`` over documents that include ``texts``; without, those of ``texts``.
     """
-    model, seen, own = SentenceModel(), [], Counter()
+    model, seen, contexts = SentenceModel(), Counter(), Counter()
     for text in texts:
         found, heads = _examples(text)
-        if counts is None:
-            _tally(own, found, heads)
+        contexts.update(found)
+        contexts.update((None, r, 1) for r in heads)
         mode = _case_mode(text) if found else "x"
-        seen += [(c, mode, end) for c, end in found]
+        seen.update((c, r, mode, end) for c, r, end in found)
     if counts is None:
+        own = _tally(contexts)
         whole = {(p, k): own[p, k, 0] + own[p, k, 1] for p, k, _ in list(own)}
         counts = [(p, k, n, own[p, k, 1]) for (p, k), n in whole.items() if n >= KNOWN_FROM]
     for place, token, n, n_edge in counts:
         getattr(model, place)[token] = (n, n_edge)
-    rows, y = [], []
+    rows, y, times = [], [], []
     never = lambda table, key, least: (x := table.get(key, (0, 0)))[0] >= least and not x[1]
-    for c, mode, end in seen:
+    for (c, r, mode, end), n in seen.items():
         if end:
             label = 1
-        elif c.thai and c.script != "THAI" or not c.thai and c.cls == "l" and mode == "n":
+        elif c.thai and c.script != "THAI" or not c.thai and r.cls == "l" and mode == "n":
             label = 0
-        elif never(model.ends, c.ek, 25) or never(model.starts, c.sk, 15) or c.cls == "d" and c.script in ("LATIN", "CYRILLIC", "GREEK") and never(model.ends, c.ek, 3):
+        elif never(model.ends, c.ek, 25) or never(model.starts, r.sk, 15) or r.cls == "d" and c.script in ("LATIN", "CYRILLIC", "GREEK") and never(model.ends, c.ek, 3):
             label = 0  # often seen, but at no block's end or start
         else:
             continue
-        rows.append(np.array(model.features(c, mode, end)))
-        y.append(label)
-        if mode == "n" and not c.thai:
-            rows.append(np.array(model.features(c, "x", end)))
+        for m in ("n", "x") if mode == "n" and not c.thai else (mode,):
+            rows.append(np.array(model.features(c, r, m, end)))
             y.append(label)
-    model.weights = fit(rows, np.array(y), DIM).astype(np.float32) if rows else model.weights
+            times.append(n)
+    model.weights = fit(rows, np.array(y), DIM, times=np.array(times, dtype=float)).astype(np.float32) if rows else model.weights
     if not rows:
         model.weights[0] = -1
     return model
@@ -415,15 +508,16 @@ def sentences(docs: DataFrame, id_col: str, text_col: str, *, model: SentenceMod
     """
     model = model or fit_model(docs, id_col, text_col, train_docs)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, starts, ends = [], [], []
-            for i, t in zip(b["i"].tolist(), b["t"].tolist()):
-                for s, e in model.units(t):
-                    ids.append(i)
-                    starts.append(s)
-                    ends.append(e)
-            yield pd.DataFrame({"i": pd.array(ids, dtype=b["i"].dtype), "sent_start": np.array(starts, dtype=np.int64), "sent_end": np.array(ends, dtype=np.int64)})
+            places, counts = [], []
+            for t in b.column(1).to_pylist():
+                found = model.units(t)
+                places += found
+                counts.append(len(found))
+            at = np.array(places, dtype=np.int64).reshape(-1, 2)
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(at[:, 0]), pa.array(at[:, 1])], ["i", "sent_start", "sent_end"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(cut, f"i {kind}, sent_start bigint, sent_end bigint").withColumnRenamed("i", id_col)
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(cut, f"i {kind}, sent_start bigint, sent_end bigint").withColumnRenamed("i", id_col)
