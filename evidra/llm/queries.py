@@ -87,9 +87,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_source_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each source truncates: rows, rows found cut and their share."""
-    rec = table(spark, sf_dir, "records").select("id", "source_id")
-    cut = p5_found(spark, sf_dir).select(F.col("id").alias("cut_id"))
-    both = rec.join(cut, F.col("id") == F.col("cut_id"), "left").groupBy("source_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count("cut_id").alias("n_cut"))
+    rec = table(spark, sf_dir, "records").select("id", "source_id", "excerpt")
+    scored = truncation.truncated(rec, "id", "excerpt", "source_id", every=True, with_source=True)
+    cut = scored.groupBy(F.col("src")).agg(F.sum((F.col("score") > 0).cast("bigint")).alias("n_cut"))
+    n = rec.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    both = n.join(cut, F.coalesce("source_id", F.lit("")) == F.col("src"), "left").select("source_id", "n_rows", F.coalesce("n_cut", F.lit(0)).alias("n_cut"))
     return both.withColumn("share", F.round(F.col("n_cut") / F.col("n_rows"), 6))
 
 

@@ -16,6 +16,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +29,36 @@ from evidra.session import materialize
 DIM = 1 << 17
 #: About this many rows are taken for the fit, each once as it is and once cut; never more than 1.5 times as many.
 TRAIN_ROWS = 24_000
-#: What cuts leave behind a text.
+#: What a field limit puts behind a text, and codes of a page that a transfer may stop inside.
 MARKS = ["…", "…", "...", "...", " …", " ...", " [...]", "[…]"]
-SCRAPS = ["&am", "&quo", "&#x2", "&l", "<b", "</", "\\u00", "�"]
+CODES = ["&amp;", "&quot;", "&#x27;", "&lt;", "<br>", "</p>", "\\u2019"]
+#: The forms that values have, looked for in this order: cells ``key=value; key=value``, a title and its host, cells between bars; all else is prose.
+FORMS = [("rows", r"(?s)^[^|]+ \| [^|=;]{1,40}=[^;]*;"), ("news", r"(?s)^.+ \| [a-z0-9-]+(\.[a-z0-9-]+)+$"), ("cells", r"(?s)^[^|]+ \| [^|]+ \| ")]
 #: A feature seen less often than this in the fit counts as unknown; each place in the feature list has a weight for that.
 KNOWN_FROM = 4
 
 
-def _kind(src: Column, e: Column) -> Column:
-    return F.when(e.rlike(r"^[^|]+ \| case "), "rows").when(e.rlike(r" \| docket | v\. .* \| |^In re [^|]* \| "), "court").when(src.startswith("news") | (src == "") & e.rlike(r" \| [a-z0-9-]+(\.[a-z0-9-]+)+$"), "news").otherwise("prose")
+def _form(e: Column) -> Column:
+    kind = F.lit("prose")
+    for name, rx in reversed(FORMS):
+        kind = F.when(e.rlike(rx), name).otherwise(kind)
+    return kind
 
 
-def shaped(rows: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, src, e, kind, title, tail): the value and, for news, its title and what follows it. Null and blank values are dropped."""
-    df = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("src"), F.col(text_col).alias("e")).where(F.col("e").rlike(r"\S"))
-    return _parts(df.withColumn("kind", _kind(F.col("src"), F.col("e"))))
+def source_forms(rows: DataFrame, text_col: str, source_col: str) -> DataFrame:
+    """(form_src, form): the form that most values of a source have; a row per source. Null sources have none: their values each have their own."""
+    n = rows.where(F.col(source_col).isNotNull() & F.col(text_col).rlike(r"\S")).groupBy(F.col(source_col).alias("form_src"), _form(F.col(text_col)).alias("form")).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("form_src").agg(F.max(F.struct("n", "form")).alias("m")).select("form_src", "m.form")
+
+
+def shaped(rows: DataFrame, id_col: str, text_col: str, source_col: str, forms: DataFrame) -> DataFrame:
+    """(id, src, e, kind, title, tail): the value and, for a title with its host, both. Null and blank values are dropped.
+
+    A cut value has lost its form, so the form is its source's.
+    """
+    df = rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), F.col(text_col).alias("e")).where(F.col("e").rlike(r"\S"))
+    df = df.join(forms, F.col("src") == F.col("form_src"), "left")
+    return _parts(df.select("id", F.coalesce("src", F.lit("")).alias("src"), "e", F.coalesce("form", _form(F.col("e"))).alias("kind")))
 
 
 def _parts(df: DataFrame) -> DataFrame:
@@ -51,16 +67,20 @@ def _parts(df: DataFrame) -> DataFrame:
     return df.withColumn("title", F.when(news, F.when(at != "", at).otherwise(F.col("e"))).otherwise("")).withColumn("tail", F.when(news & (at != ""), F.substring_index("e", " | ", -1)).otherwise(""))
 
 
-def limits(df: DataFrame, *, least: int = 20, times: float = 4.0) -> DataFrame:
+def limits(df: DataFrame, *, surprise: float = 14.0, times: float = 4.0) -> DataFrame:
     """(src, part, len): lengths of values (part 0) or titles (part 1) with far more different values than lengths near them.
 
-    Over all rows; only counts by source and length are shuffled on.
+    Against the mean ``m`` of the 16 lengths 5 to 12 away, a count ``n`` must be above ``times`` as great, and
+    by Chernoff's bound for Poisson counts less likely than exp(-``surprise``). So a source of a few rows can
+    have a limit too. Over all rows; only counts by source and length are shuffled on.
     """
     lens = df.select("src", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.length("e").alias("len"), F.xxhash64("e").alias("h")), F.struct(F.lit(1).alias("part"), F.length("title").alias("len"), F.xxhash64("title").alias("h")))).alias("x")).select("src", "x.*").where("len > 0")
     n = lens.groupBy("src", "part", "len", "h").agg(F.lit(1).alias("o")).groupBy("src", "part", "len").agg(F.count("o").alias("n"))
     near = n.select("src", "part", F.explode(F.sequence(F.col("len") - 12, F.col("len") + 12)).alias("len"), F.col("n").alias("m"), F.col("len").alias("from")).where(F.abs(F.col("len") - F.col("from")) > 4)
-    around = near.groupBy("src", "part", "len").agg((F.sum("m") / 16).alias("m"))
-    return n.join(around, ["src", "part", "len"], "left").where((F.col("n") >= least) & (F.col("n") > times * F.coalesce("m", F.lit(0)))).select("src", "part", "len")
+    around = near.groupBy("src", "part", "len").agg(F.sum("m").alias("m"))
+    m = (F.coalesce("m", F.lit(0)) + 0.5) / 16
+    odd = F.col("n") * F.log(F.col("n") / m) - F.col("n") + m
+    return n.join(around, ["src", "part", "len"], "left").where((F.col("n") > times * m) & (odd > surprise)).select("src", "part", "len")
 
 
 def with_limits(df: DataFrame, lim: DataFrame) -> DataFrame:
@@ -76,49 +96,77 @@ _DIGITS = str.maketrans("0123456789", "9" * 10)
 _ENDED = re.compile(r"[.!?。！？।॥۔؟։።;][\"')”’»」）\]]*\s*\Z")
 _MARK = re.compile(r"(\s?\[?(?:\.{3}|…)\]?)\s*\Z")
 _SCRAP = re.compile(r"(?:&[#a-z0-9]{0,7}|</?[a-z]{0,6}|\\u?[0-9a-f]{0,3}|�)\Z")
-_FIELD = re.compile(r"; ([^=;]*=?)[^;]*\Z")
+_CELL = re.compile(r"; | \| ")
+#: So many groups of features a cache of a task holds before it starts anew.
+CACHED = 1 << 17
+Group = tuple[int, ...]
 
 
-def _closing(p: str, k: str, c: str, at: bool) -> list[str]:
-    """What the end of ``c`` looks like; ``at``: it has the length of a limit."""
-    t = c[-60:].lower().translate(_DIGITS)
-    words = _NUMBER.sub("9", t).split()
-    last, two, three = words[-1] if words else "", " ".join(words[-2:]), " ".join(words[-3:])
-    cls = "".join("A" if x.isupper() else "a" if x.islower() else "9" if x.isdigit() else x for x in c[-5:])
-    mark = _MARK.search(t[-7:])
-    mark = mark.group(1) if mark else ""
-    before = ""
+def _group(*names: str) -> Group:
+    return tuple(1 + zlib.crc32(x.encode("utf-8", "replace")) % (DIM - 1) for x in names)
+
+
+def _mark_of(t: str) -> str:
+    m = _MARK.search(t[-7:])
+    return m.group(1) if m else ""
+
+
+@lru_cache(CACHED)
+def _last_characters(p: str, end: str) -> tuple[Group, str, str]:
+    """Of the last nine characters: their features, the mark there, whether they end a sentence."""
+    t = end.lower().translate(_DIGITS)
+    cls = "".join("A" if x.isupper() else "a" if x.islower() else "9" if x.isdigit() else x for x in end[-5:])
+    mark, ended, scrap = _mark_of(t), "T" if _ENDED.search(t[-8:]) else "N", _SCRAP.search(t)
+    names = [f"{p}1|{t[-1:]}", f"{p}2|{t[-2:]}", f"{p}3|{t[-3:]}", f"{p}5|{t[-5:]}", f"{p}c|{cls}", f"{p}d|{cls[-2:]}", f"{p}M|{mark}", f"{p}s|{t[-1:].isspace()}", f"{p}g|{scrap.group() if scrap else ''}", f"{p}h|{scrap.group()[0] if scrap else ''}"]
+    return _group(*names), mark, ended
+
+
+@lru_cache(CACHED)
+def _last_words(p: str, mark: str, *raw: str) -> Group:
+    """Of the last three words and what stands before a mark."""
+    words = [_NUMBER.sub("9", w.lower().translate(_DIGITS)) for w in raw]
+    last, before = words[-1] if words else "", ""
     if mark:
         before = last.rstrip(".…[]") or (words[-2] if len(words) > 1 else "")
-    ended = "T" if _ENDED.search(t[-8:]) else "N"
-    sign = lambda a, b: (c.count(a) > c.count(b)) - (c.count(a) < c.count(b))
+    return _group(f"{p}w|{last}", f"{p}x|{' '.join(words[-2:])}", f"{p}y|{' '.join(words)}", f"{p}m|{mark}|{before}")
+
+
+@lru_cache(CACHED)
+def _some(*names: str) -> Group:
+    return _group(*names)
+
+
+def _closing(p: str, c: str, at: bool) -> list[Group]:
+    """What the end of ``c`` looks like; ``at``: it has the length of a limit."""
+    chars, mark, ended = _last_characters(p, c[-9:])
+    sign = lambda a, b: (x > y) - (x < y) if (x := c.count(a)) != (y := c.count(b)) else 0
     odd = f"{c.count('"') % 2}{sign('(', ')')}{sign('“', '”')}{sign('«', '»')}{sign('「', '」')}"
-    scrap = _SCRAP.search(t[-9:])
-    p = f"{p}{k}|"
-    return [
-        f"{p}1|{t[-1:]}", f"{p}2|{t[-2:]}", f"{p}3|{t[-3:]}", f"{p}5|{t[-5:]}", f"{p}c|{cls}", f"{p}d|{cls[-2:]}", f"{p}w|{last}", f"{p}x|{two}", f"{p}y|{three}",
-        f"{p}m|{mark}|{before}", f"{p}M|{mark}", f"{p}T|{ended}|{at}", f"{p}u|{odd}|{ended}", f"{p}s|{t[-1:].isspace()}", f"{p}g|{scrap.group() if scrap else ''}",
-    ]
+    return [chars, _last_words(p, mark, *c.rsplit(None, 3)[-3:]), _some(f"{p}T|{ended}|{at}", f"{p}u|{odd}|{ended}")]
 
 
-def feature_list(e: str, k: str, at_e: bool, at_t: bool) -> list[int]:
-    """Indices of a value's features; their number tells the kind, their place what they are."""
-    end = _closing("e", k, e, at_e)
+def feature_groups(e: str, k: str, at_e: bool, at_t: bool) -> list[Group]:
+    """Indices of a value's features in groups that repeat from value to value; their number tells the kind, their place what they are."""
+    end = _closing(f"e{k}|", e, at_e)
     if k == "news":
         title, sep, tail = e.rpartition(" | ")
         if not sep:
             title, tail = e, ""
-        mark = _MARK.search(title[-7:])
-        names = [*end[:3], end[14], *_closing("t", k, title, at_t), f"l|{tail.rpartition('.')[2]}|{tail == ''}", f"L|{tail}", f"tm|{at_t}|{mark.group(1) if mark else ''}|{title.endswith(' nothing...')}"]
-    elif k == "prose":
-        names = end
-    else:
-        t = e[-60:].lower().translate(_DIGITS)
-        field, cell, word = _FIELD.search(e[-120:]), re.split("; | [|] ", t)[-1], t.split(" ")
-        names = [*end, f"kf|{k}|{field.group(1) if field else ''}", f"lf|{k}|{cell}", f"np|{k}|{min(6, e.count(' | '))}", f"cs|{k}|{len(word[-1])}|{' '.join(word[-2:])}"]
-        if k == "court":
-            names.append(f"ct|{re.split('[0-9]', e.rpartition(' | ')[2])[0]}")
-    return [1 + zlib.crc32(x.encode("utf-8", "replace")) % (DIM - 1) for x in names]
+        return [*end, *_closing(f"t{k}|", title, at_t), _some(f"l|{tail.rpartition('.')[2]}|{tail == ''}", f"L|{tail}", f"tm|{at_t}|{_mark_of(title)}")]
+    if k == "prose":
+        return end
+    parts = _CELL.split(e)
+    cell = parts[-1].lower().translate(_DIGITS)
+    key, is_pair, _ = cell.partition("=")
+    word = cell.split(" ")
+    field = key + is_pair if k == "rows" else ""
+    names = [f"kf|{k}|{field}", f"lf|{k}|{cell}", f"np|{k}|{min(6, e.count(' | '))}", f"cs|{k}|{len(word[-1])}|{' '.join(word[-2:])}"]
+    if k == "cells":
+        names.append(f"ct|{re.split('[0-9]', cell)[0]}")
+    return [*end, _some(*names)]
+
+
+def feature_list(e: str, k: str, at_e: bool, at_t: bool) -> list[int]:
+    return [i for g in feature_groups(e, k, at_e, at_t) for i in g]
 
 
 def cut(e: str, k: str, rnd: random.Random) -> tuple[str, bool, bool]:
@@ -131,7 +179,10 @@ def cut(e: str, k: str, rnd: random.Random) -> tuple[str, bool, bool]:
         mark = "" if rnd.random() < 0.25 else rnd.choice(["…", "...", " ..."])
         return f"{title[: rnd.randrange(12, len(title))]}{mark} | {tail}", False, rnd.random() < 0.7
     limited, how = rnd.random() < 0.4, rnd.random()
-    left = "" if how < 0.5 else rnd.choice(MARKS) if limited or how < 0.8 else rnd.choice(SCRAPS)
+    left = "" if how < 0.5 else rnd.choice(MARKS)
+    if not limited and how >= 0.8:  # inside a code of the page, or of a character
+        code = rnd.choice(CODES)
+        left = code[: rnd.randrange(1, len(code))] if rnd.random() < 0.9 else "�"
     return e[: rnd.randrange(min(5, len(e) - 1), len(e))] + left, limited, False
 
 
@@ -147,10 +198,24 @@ class TruncationModel:
         place = np.arange(len(flat)) - np.repeat(at[:-1], size)
         return np.where(known[flat], flat, DIM + np.repeat(size, size) * 64 + place)
 
-    def scores(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[self.index(self.known, flat, at)].astype(np.float64))])
-        z = sums[at[1:]] - sums[at[:-1]]
-        return z - np.array([self.least.get(n, 0.0) for n in np.diff(at).tolist()])
+    def score(self, groups: list[Group]) -> float:
+        """Above 0: more likely cut than whole. A group's sum is made once, as long as the cache holds it."""
+        sums = self.__dict__.setdefault("_sums", {})
+        size = sum(map(len, groups))
+        z, place = -self.least.get(size, 0.0), 0
+        for g in groups:
+            if (part := sums.get((size, place, g))) is None:
+                if len(sums) >= CACHED:
+                    sums.clear()
+                at = np.array(g)
+                unknown = DIM + size * 64 + place + np.arange(len(g))
+                part = sums[size, place, g] = float(self.weights[np.where(self.known[at], at, unknown)].astype(np.float64).sum())
+            z += part
+            place += len(g)
+        return z
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_sums"}
 
 
 def train(df: DataFrame, total: int, train_rows: int = TRAIN_ROWS) -> TruncationModel:
@@ -204,24 +269,29 @@ def _fit_kind(rows: list[np.ndarray], blind: list[np.ndarray], y: np.ndarray, at
     return w, float(np.log((1 - share) / share)) - float(bias)
 
 
-def truncated(rows: DataFrame, id_col: str, text_col: str, source_col: str, *, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(id, score) of every row found cut (score above 0: more likely cut than whole).
+def truncated(rows: DataFrame, id_col: str, text_col: str, source_col: str, *, train_rows: int = TRAIN_ROWS, every: bool = False, with_source: bool = False) -> DataFrame:
+    """(id, score) of every row found cut (score above 0: more likely cut than whole); with ``every`` of all rows with a value,
+    with ``with_source`` also ``src``, the source or the empty text.
 
     Null and blank values are not cut; repeated rows each count; a null source is a source of its own;
     long values are read whole; an empty table gives no rows. Other columns are not read.
     """
-    lim, _ = materialize(limits(shaped(rows, id_col, text_col, source_col)), "limits")
-    df = with_limits(shaped(rows, id_col, text_col, source_col), lim).select("id", "e", "kind", "at_e", "at_t")
+    forms, _ = materialize(source_forms(rows, text_col, source_col), "forms")
+    whole = shaped(rows, id_col, text_col, source_col, forms)
+    lim, _ = materialize(limits(whole), "limits")
+    df = with_limits(whole, lim).select("id", *(["src"] if with_source else []), "e", "kind", "at_e", "at_t")
     model = train(df, rows.count(), train_rows)
+    keep_columns = ["id", "src"] if with_source else ["id"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            lists = [feature_list(*x) for x in zip(*(c.to_pylist() for c in b.columns[1:]))]
-            z = model.scores(np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])]))
-            keep = pa.array(z > 0)
-            yield pa.RecordBatch.from_arrays([b.column("id").filter(keep), pa.array(z).filter(keep)], ["id", "score"])
+            values = zip(*(b.column(c).to_pylist() for c in ("e", "kind", "at_e", "at_t")))
+            z = np.array([model.score(feature_groups(*x)) for x in values], dtype=np.float64)
+            if every:
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep_columns), pa.array(z)], [*keep_columns, "score"])
+            else:
+                keep = pa.array(z > 0)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).filter(keep) for c in keep_columns), pa.array(z).filter(keep)], [*keep_columns, "score"])
 
     kind = dict(rows.dtypes)[id_col]
-    return df.mapInArrow(score, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return df.mapInArrow(score, f"id {kind}, {'src string, ' if with_source else ''}score double").withColumnRenamed("id", id_col)

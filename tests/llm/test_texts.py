@@ -45,7 +45,28 @@ def test_cut_texts_are_found(spark, excerpts):
 
 def test_limits_are_read_off_the_table(spark, excerpts):
     df = spark.createDataFrame([r[:3] for r in excerpts], "rid bigint, src string, body string")
-    assert ("posts", 0, 160) in {tuple(r) for r in truncation.limits(truncation.shaped(df, "rid", "body", "src")).collect()}
+    forms = truncation.source_forms(df, "body", "src")
+    assert {tuple(r) for r in forms.collect()} == {("posts", "prose"), ("news_x", "news"), ("files", "rows")}
+    assert ("posts", 0, 160) in {tuple(r) for r in truncation.limits(truncation.shaped(df, "rid", "body", "src", forms)).collect()}
+
+
+def test_a_source_of_eight_rows_has_a_limit(spark):
+    bodies = [f"{i} {'word ' * 40}"[:120] for i in range(5)] + ["a whole one.", "another whole one, longer.", "and one more of these that is whole."]
+    df = spark.createDataFrame([(i, "tiny", b) for i, b in enumerate(bodies)], "rid bigint, src string, body string")
+    got = truncation.limits(truncation.shaped(df, "rid", "body", "src", truncation.source_forms(df, "body", "src")))
+    assert [tuple(r) for r in got.collect()] == [("tiny", 0, 120)]
+
+
+def test_sums_of_groups_are_sums_of_features():
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    model = truncation.TruncationModel(rnd.random(truncation.DIM) < 0.5, rnd.random(truncation.DIM + 64 * 64), {})
+    for text, kind in (("A title of some kind... | paper.test", "news"), ("Prose that stops (in the", "prose"), ("Co | case=1; award=2; no", "rows"), ("In re X | D. Y | doc", "cells"), ("", "prose")):
+        flat = np.array(truncation.feature_list(text, kind, True, False))
+        whole = model.weights[model.index(model.known, flat, np.array([0, len(flat)]))].sum()
+        groups = truncation.feature_groups(text, kind, True, False)
+        assert abs(model.score(groups) - whole) < 1e-9 and abs(model.score(groups) - whole) < 1e-9
 
 
 def test_cut_texts_odd_tables(spark):
