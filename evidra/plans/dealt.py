@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidra.functions import dates
 from evidra.operators import delivery, instants
 from evidra.operators.treeagg import heavy_keys, tree_aggregate
-from evidra.session import materialize, table
+from evidra.session import materialize, new_path, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,15 +65,33 @@ def _deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to be dropped, as a row with a smaller id has the same identifier."""
-    return delivery.repeats(_deliveries(spark, sf_dir), buckets=16).select(F.col("tbl").alias("item_table"), F.col("id").alias("item_id"))
+    return delivery.repeats(_deliveries(spark, sf_dir)).select(F.col("tbl").alias("item_table"), F.col("id").alias("item_id"))
 
 
 def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one row kept for each identifier."""
-    return delivery.keepers(_deliveries(spark, sf_dir), buckets=16).select(F.col("tbl").alias("item_table"), F.col("id").alias("item_id"))
+    return delivery.keepers(_deliveries(spark, sf_dir)).select(F.col("tbl").alias("item_table"), F.col("id").alias("item_id"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_carrier_monthly_mentions, p1_state_signal, p2_found, p2_instants, p3_found, p3_kept)}
+def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows a store keeps of posts and items that arrive in four batches, by the ranges of their batch_id."""
+    day, names = 86_400, {"bsky_items": "uri", "hn_items": "object_id"}
+    store = delivery.DeliveryStore(spark, new_path(spark, "delivery-store"), words=1 << 14)
+    rows = None
+    for name, key in names.items():
+        t = table(spark, sf_dir, name)
+        d = delivery.delivery_rows(t, name, "delivery_id", key, "received_at", 7 * day)
+        d = d.join(t.select(F.col("delivery_id").alias("id"), "batch_id"), "id").select("tbl", "id", "ident", "tb", "batch_id")
+        rows = d if rows is None else rows.union(d)
+    last = rows.agg(F.max("batch_id")).first()[0] or 0
+    kept = [store.ingest(rows.where(F.floor(F.coalesce("batch_id", F.lit(0)) * 4 / (last + 1)) == i).drop("batch_id"), f"b{i}").withColumn("batch", F.lit(i)) for i in range(4)]
+    out = kept[0]
+    for k in kept[1:]:
+        out = out.union(k)
+    return out.select(F.col("tbl").alias("item_table"), F.col("id").alias("item_id"), "batch")
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_carrier_monthly_mentions, p1_state_signal, p2_found, p2_instants, p3_found, p3_kept, p3_batches)}
 
 _NORMAL = r"""case when strpos(t, ':') > 0 then lower(substr(t, 1, strpos(t, ':'))) || substr(t, strpos(t, ':') + 1) else t end"""
 _DELIVERED = rf"""
@@ -101,4 +119,10 @@ from (select state, sum(complaint_count) fcc_count from fcc_monthly_aggregates w
 full join (select loc_state state, count(*) record_count from records where loc_state is not null group by 1) r on f.state = r.state""",
     "p3_found": _DELIVERED + " select item_table, item_id from r where rn > 1",
     "p3_kept": _DELIVERED + " select item_table, item_id from r where rn = 1",
+    "p3_batches": rf"""
+with raw as (
+  select 'bsky_items' item_table, delivery_id item_id, batch_id, regexp_replace(uri, '^[\s\pZ]+|[\s\pZ]+$', '', 'g') t from bsky_items
+  union all select 'hn_items', delivery_id, batch_id, regexp_replace(object_id, '^[\s\pZ]+|[\s\pZ]+$', '', 'g') from hn_items
+), b as (select *, cast(floor(coalesce(batch_id, 0) * 4 / ((select max(batch_id) from raw) + 1)) as int) batch from raw)
+select item_table, item_id, batch from (select *, row_number() over (partition by item_table, {_NORMAL} order by batch, item_id) rn from b where t is not null) where rn = 1""",
 }

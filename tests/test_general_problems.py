@@ -151,18 +151,41 @@ def test_repeats_against_brute_force(spark, seed):
     rows = [(i, rnd.choice([None, "", "HOT:1", "hot:1", f"a:{rnd.randrange(60)}", f" A:{rnd.randrange(60)}\n", f"\tx{rnd.randrange(40)}"]), rnd.choice([None, 0, 50, 10_000, -7])) for i in range(600)]
     df = spark.createDataFrame(rows, "id bigint, key string, at bigint").withColumn("tb", F.lit("clash")).withColumn("ident", F.lit(0))
     d = delivery_rows(df, "t", "id", "key", "at", 100)
-    assert {r.id for r in repeats(d, 4).collect()} == brute(rows)
-    keep = [r.id for r in keepers(d, 4).collect()]
+    assert {r.id for r in repeats(d).collect()} == brute(rows)
+    keep = [r.id for r in keepers(d).collect()]
     assert len(keep) == len(set(keep)) and set(keep) == {i for i, k, _ in rows if k is not None} - brute(rows)
 
 
 def test_tables_do_not_mix_and_empty(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, "a", 1)], "id bigint, key string, at bigint")
     both = delivery_rows(df, "x", "id", "key", "at", 10).union(delivery_rows(df, "y", "id", "key", "at", 10))
-    assert sorted((r.tbl, r.id) for r in repeats(both, 2).collect()) == [("x", 2), ("y", 2)]
-    assert repeats(delivery_rows(df.limit(0), "x", "id", "key", "at", 10), 2).count() == 0
+    assert sorted((r.tbl, r.id) for r in repeats(both).collect()) == [("x", 2), ("y", 2)]
+    assert repeats(delivery_rows(df.limit(0), "x", "id", "key", "at", 10)).count() == 0
     long = spark.createDataFrame([(1, "k" * 200_000, 1), (2, "K" * 200_000, 1), (3, "k" * 200_000, 900)], "id bigint, key string, at bigint")
-    assert [r.id for r in repeats(delivery_rows(long, "x", "id", "key", "at", 10), 2).collect()] == [3]
+    assert [r.id for r in repeats(delivery_rows(long, "x", "id", "key", "at", 10)).collect()] == [3]
+
+
+def test_many_buckets_on_both_sides_of_a_slice(spark):
+    rnd = random.Random(4)
+    rows = [(i, f"k{rnd.randrange(900)}", rnd.randrange(-90, 300)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id bigint, key string, at bigint")
+    assert {r.id for r in repeats(delivery_rows(df, "t", "id", "key", "at", 1)).collect()} == brute(rows)
+
+
+def test_only_the_buckets_in_question_are_read(spark, tmp_path):
+    from evidra.operators import delivery
+
+    df = spark.createDataFrame([(i, f"k{i}", i) for i in range(50)], "id bigint, key string, at bigint")
+    path = f"file://{tmp_path}/storage"
+    delivery.store(delivery_rows(df, "t", "id", "key", "at", 10), path)
+    some = delivery.stored(spark, path, "bigint", [("t", 1), ("t", 3)])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and "PartitionFilters: [" in plan
+    assert sorted(r.id for r in some.collect()) == [*range(10, 20), *range(30, 40)]
+    index = delivery.hash_index(delivery.stored(spark, path, "bigint"))
+    placed = delivery.with_words(index, {"t": 64})
+    hits = delivery.screen(placed, delivery.sliced_filters(placed))
+    assert "ident" not in hits._jdf.queryExecution().executedPlan().toString()
 
 
 def test_store_over_batches(spark, tmp_path):
