@@ -83,7 +83,7 @@ def screen(placed: DataFrame, filters: DataFrame) -> DataFrame:
     known = F.lit(-1).cast("bigint")
     for place in _places("h"):
         known = known.bitwiseAND(F.get("slices", place))
-    known = F.when(F.col("grp") < F.col("own"), known).otherwise(known.bitwiseAND(_bucket_bit() - 1))
+    known = F.when(F.col("grp") < F.col("own"), known).otherwise(known.bitwiseAND(F.expr(f"~shiftleft(-1L, cast(pmod(tb, {SLICE}) as int))")))
     some = met.withColumn("known", known).where("known <> 0")
     return some.select("tbl", "tb", "h", F.explode(_buckets_of("known")).alias("hit"))
 
@@ -133,7 +133,7 @@ def superseded(rows: DataFrame) -> DataFrame:
     release(spark, index_path)
     buckets = [(r.tbl, r.tb) for r in maybe.select("tbl", "tb").distinct().collect()]  # at most a row a bucket
     rows_there = stored(spark, path, id_type, buckets)
-    checked, _ = materialize(rows_there.join(maybe, ["tbl", "tb", "h"], "left_semi").select("tbl", "ident", "id"), "delivery-checked")
+    checked, _ = materialize(rows_there.select("tbl", "h", "ident", "id").join(maybe.select("tbl", "h"), ["tbl", "h"], "left_semi").select("tbl", "ident", "id"), "delivery-checked")
     first = checked.groupBy("tbl", "ident").agg(F.min("id").alias("id")).select("tbl", "id")
     return checked.select("tbl", "id").join(first, ["tbl", "id"], "left_anti")
 
