@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 #: Words a question's search leaves out.
-STOPWORDS = (
-    "a an the is are was were be been being am do does did doing has have had having of in on to for with as at by from into "
-    "and or but if then than so that this these those how what who whom why when where which whose i me my mine we us our you your yours "
-    "they them their it its he she his her about can could would should will shall may might must get got getting any all some more most many much "
-    "tell show give list please know want need there record records library verified vetted issue issues problem problems carrier carriers "
-    "company companies over time yet still just only even ever"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "am", "do", "does", "did", "doing", "has", "have", "had", "having", "of", "in", "on", "to", "for",
+    "with", "as", "at", "by", "from", "into", "and", "or", "but", "if", "then", "than", "so", "that", "this", "these", "those", "how", "what", "who", "whom", "why", "when",
+    "where", "which", "whose", "i", "me", "my", "mine", "we", "us", "our", "you", "your", "yours", "they", "them", "their", "it", "its", "he", "she", "his", "her", "about",
+    "can", "could", "would", "should", "will", "shall", "may", "might", "must", "get", "got", "getting", "any", "all", "some", "more", "most", "many", "much", "tell",
+    "show", "give", "list", "please", "know", "want", "need", "there", "record", "records", "library", "verified", "vetted", "issue", "issues", "problem", "problems",
+    "carrier", "carriers", "company", "companies", "over", "time", "yet", "still", "just", "only", "even", "ever",
+]
 
 
 def trim_all(c: Column) -> Column:

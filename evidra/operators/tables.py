@@ -37,6 +37,26 @@ def set_column(table: DataFrame, changes: DataFrame, on: str, column: str, keep_
     return table.join(new, F.col(on) == F.col("__on"), "left").withColumn(column, value).select(*table.columns)
 
 
+def update_columns(table: DataFrame, changes: DataFrame, on: str, overwrite: list[str], keep_if_null: list[str]) -> DataFrame:
+    """``table`` after an update by key: ``overwrite`` columns take the change, even a null; ``keep_if_null`` columns only one that is not null.
+
+    ``changes`` has at most one row a key; rows without a change stay as they are.
+    """
+    columns = [*overwrite, *keep_if_null]
+    new = changes.select(F.col(on).alias("__on"), *(F.col(c).alias(f"__new_{c}") for c in columns), F.lit(True).alias("__hit"))
+    value = {c: F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)) for c in overwrite} | {c: F.coalesce(f"__new_{c}", c) for c in keep_if_null}
+    joined = table.join(new, F.col(on) == F.col("__on"), "left")
+    return joined.select(*(value[c].alias(c) if c in value else F.col(c) for c in table.columns))
+
+
+def guarded_set(table: DataFrame, keys: DataFrame, on: str, column: str, only_from: str, to: str) -> DataFrame:
+    """``table`` with ``changed``: ``column`` goes from ``only_from`` to ``to`` for the ``keys``, and from no other value. Counting ``changed`` gives the number of updates."""
+    hit = keys.select(F.col(on).alias("__on")).distinct().withColumn("__hit", F.lit(True))
+    joined = table.join(hit, F.col(on) == F.col("__on"), "left")
+    changed = F.coalesce(F.col("__hit") & (F.col(column) == only_from), F.lit(False))
+    return joined.select(*(F.when(changed, F.lit(to)).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in table.columns), changed.alias("changed"))
+
+
 def add_up(existing: DataFrame, delta: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """Additive upsert: old and new measures summed by key."""
     return existing.unionByName(delta).groupBy(*keys).agg(*(F.sum(m).cast("bigint").alias(m) for m in measures))

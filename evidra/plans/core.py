@@ -205,32 +205,47 @@ def excerpt_amounts(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- links and corroboration -----------------------------------------------------------------------------------
 def _linkable(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "records").select("id", "source_id", "carrier", "promo_name", "alleged_issue", F.coalesce("record_date", "capture_date").alias("ts"))
+    return read(spark, d, "records").select("id", "source_id", "carrier", "promo_name", "alleged_issue", F.coalesce("record_date", "capture_date").alias("ts"), "vetting_status", "review_status")
 
 
-_TS = "select id, coalesce(source_id, '') src, source_id, carrier, promo_name, alleged_issue, coalesce(record_date, capture_date) ts from records"
+_TS = "select id, coalesce(source_id, '') src, source_id, carrier, promo_name, alleged_issue, coalesce(record_date, capture_date) ts, vetting_status, review_status from records"
 
 
-@query(f"""with r as ({_TS}), g as (select id, src, carrier, ts, 'issue' kind, alleged_issue v from r where carrier is not null and coalesce(alleged_issue, '') <> ''
+_CORROBORATED = f"""with r as ({_TS} where vetting_status = 'single_source'), g as (select id, src, carrier, ts, 'issue' kind, alleged_issue v from r where carrier is not null and coalesce(alleged_issue, '') <> ''
  union all select id, src, carrier, ts, 'promo', promo_name from r where carrier is not null and coalesce(promo_name, '') <> ''),
 n as (select *, lag(src) over w p, lag(ts) over w t from g window w as (partition by kind, carrier, v order by ts, id)),
 q as (select distinct kind, carrier, v from n where p <> src and ts - t <= 7776000)
-select distinct id from g semi join q using (kind, carrier, v)""")
+select distinct id from g semi join q using (kind, carrier, v)"""
+
+
+@query(_CORROBORATED)
 def corroborated_records(spark: SparkSession, d: str) -> DataFrame:
-    """Records of groups that two different sources attest within 90 days."""
-    return linking.corroborated(_linkable(spark, d))
+    """Records of one source only, of groups that two different sources attest within 90 days."""
+    return linking.corroborated(_linkable(spark, d), among=F.col("vetting_status") == "single_source")
+
+
+@query(f"select id, case when changed then 'corroborated' else vetting_status end vetting_status, changed from (select id, vetting_status, coalesce(vetting_status = 'single_source' and id in ({_CORROBORATED}), false) changed from records)")
+def vetting_after_upgrade(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's vetting after corroborated ones went up, from single_source only."""
+    r = read(spark, d, "records").select("id", "vetting_status")
+    return tables.guarded_set(r, corroborated_records(spark, d), "id", "vetting_status", "single_source", "corroborated")
+
+
+_IN_TERMS = "with p as (select distinct lower(promo_name) promo from records where coalesce(promo_name, '') <> '') select promo from p where exists (select 1 from documents where source = 'terms_page' and contains(lower(text), promo))"
 
 
-@query(f"""with r as ({_TS}),
-a as (select id, 'same_carrier_promo' link_type, 'carrier=' || carrier || '; promo=' || promo_name link_key from r where coalesce(carrier, '') <> '' and coalesce(promo_name, '') <> ''
- union all select id, 'same_claim_type', 'issue=' || alleged_issue from r where coalesce(alleged_issue, '') <> ''),
-b as (select id, link_type, link_key, count(*) over (partition by link_type, link_key) - 1 partners from a),
-w as (select id, 'carrier=' || carrier || '; issue=' || alleged_issue link_key, ts from r where coalesce(carrier, '') <> '' and coalesce(alleged_issue, '') <> '' and ts is not null),
-c as (select id, 'same_carrier_issue_window' link_type, link_key, count(*) over (partition by link_key order by ts range between 7776000 preceding and 7776000 following) - 1 partners from w)
-select * from b where partners > 0 union all select * from c where partners > 0""")
+@query(f"""with r as (select *, coalesce(carrier is not null and review_status in ('cleared', 'queued'), false) ok from ({_TS})),
+a as (select id, ok, 'same_carrier_promo' link_type, 'carrier=' || carrier || '; promo=' || promo_name link_key from r where coalesce(carrier, '') <> '' and coalesce(promo_name, '') <> ''
+ union all select id, ok, 'same_claim_type', 'issue=' || alleged_issue from r where coalesce(alleged_issue, '') <> ''
+ union all select id, ok, 'same_promo_terms_language', 'promo="' || promo_name || '" appears in a carrier terms diff' from r where lower(promo_name) in ({_IN_TERMS})),
+b as (select id, ok, link_type, link_key, count(*) over (partition by link_type, link_key) - 1 partners from a),
+w as (select id, ok, 'carrier=' || carrier || '; issue=' || alleged_issue || '; within 90 days' link_key, ts from r where coalesce(carrier, '') <> '' and coalesce(alleged_issue, '') <> '' and ts is not null),
+c as (select id, ok, 'same_carrier_issue_window' link_type, link_key, count(*) over (partition by link_key order by ts range between 7776000 preceding and 7776000 following) - 1 partners from w)
+select id, link_type, link_key, partners from b where ok and partners > 0 union all select id, link_type, link_key, partners from c where ok and partners > 0""")
 def link_membership(spark: SparkSession, d: str) -> DataFrame:
-    """Records with the values they share with others, and with how many."""
-    return linking.link_membership(_linkable(spark, d))
+    """Cleared and queued records of a carrier with the values they share with others, and with how many."""
+    source = F.coalesce(F.col("carrier").isNotNull() & F.col("review_status").isin("cleared", "queued"), F.lit(False))
+    return linking.link_membership(_linkable(spark, d).withColumn("source", source), promo_in_terms(spark, d))
 
 
 @query("""with ok as (select id from records where review_status = 'cleared')
@@ -242,15 +257,12 @@ def link_graph(spark: SparkSession, d: str) -> DataFrame:
     return links.join(ok, F.col("a") == F.col("id"), "left_semi").join(ok, F.col("b") == F.col("id"), "left_semi")
 
 
-@query("""with p as (select distinct lower(promo_name) promo from records where coalesce(promo_name, '') <> '') select promo from p where exists (select 1 from documents where source = 'terms_page' and contains(lower(text), promo))""")
+@query(_IN_TERMS)
 def promo_in_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Promotions that some terms page names. Names are a small dimension; each page keeps the names it holds."""
-    names = sorted(r.p for r in read(spark, d, "records").where("promo_name <> ''").select(F.lower("promo_name").alias("p")).distinct().collect())
-    pages = read(spark, d, "documents").where("source = 'terms_page'").select(F.lower("text").alias("t"))
-    if not names:
-        return pages.select(F.col("t").alias("promo")).limit(0)
-    arr = F.filter(F.array(*map(F.lit, names)), lambda p: F.contains("t", p))
-    return pages.select(F.explode(arr).alias("promo")).distinct()
+    """Promotions that some terms page names."""
+    names = read(spark, d, "records").where("promo_name <> ''").select(F.lower("promo_name").alias("promo")).distinct()
+    pages = read(spark, d, "documents").where("source = 'terms_page'").select("doc_id", F.lower("text").alias("t"))
+    return search.phrases_in(names, "promo", pages, "doc_id", "t")
 
 
 # ---- table changes ---------------------------------------------------------------------------------------------
@@ -458,7 +470,7 @@ def topic_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def cite_or_refuse(spark: SparkSession, d: str) -> DataFrame:
     """Questions with the number of records that hold one of their words; without any there is nothing to cite, so no answer."""
     q = _questions(spark).select("qid", F.explode(text.question_tokens(F.col("question"))).alias("term"))
-    post, _ = search.postings(read(spark, d, "records").select("id", "excerpt"), "id", "excerpt", [r.term for r in q.select("term").distinct().collect()])
+    post = search.postings(search.build_index(read(spark, d, "records").select("id", "excerpt"), "id", "excerpt"), q)
     m = q.join(post, "term").select("qid", "id").distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
     return _questions(spark).join(m, "qid", "left").select("qid", n.alias("matching"), F.when(n > 0, "answered").otherwise("no results").alias("outcome"))

@@ -128,7 +128,7 @@ def forum_records(spark: SparkSession, d: str) -> DataFrame:
     return collectors.forum_items(h).select("dedupe_key", "excerpt", "carrier")
 
 
-@query(f"select 'cl:' || url dedupe_key, substr(case_name || ' | ' || court || ' | docket ' || docket_number || ' | filed ' || date_filed, 1, 500) excerpt, {_FIRST('case_name')} carrier from docket_items")
+@query(f"select 'cl:' || url dedupe_key, substr(coalesce(case_name, '') || ' | ' || coalesce(court, '') || ' | docket ' || coalesce(docket_number, '') || ' | filed ' || coalesce(date_filed, ''), 1, 500) excerpt, {_FIRST('case_name')} carrier from docket_items")
 def docket_records(spark: SparkSession, d: str) -> DataFrame:
     return collectors.docket_records(read(spark, d, "docket_items")).select("dedupe_key", "excerpt", "carrier")
 

@@ -14,8 +14,12 @@ from evidra.functions import dates, text
 #: Words that make a text of a public source relevant without a carrier's name.
 RELEVANT = ["wireless", "telecom", "mobile", "carrier", "broadband", "cellular", "cell phone", "5g", "internet service"]
 #: What marks a filer as an organization.
-ORG_SUFFIX = "llc inc incorporated corp corporation co company ltd lp llp pllc plc gmbh pc".split()
-ORG_WORD = "association assn coalition committee commission council institute foundation university college department agency bureau alliance federation union systems communications networks network partners group center centre firm counsel attorneys telecom wireless broadband utilities".split()
+ORG_SUFFIX = ["llc", "inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "lp", "llp", "pllc", "plc", "gmbh", "pc"]
+ORG_WORD = [
+    "association", "assn", "coalition", "committee", "commission", "council", "institute", "foundation", "university", "college", "department", "agency", "bureau",
+    "alliance", "federation", "union", "systems", "communications", "networks", "network", "partners", "group", "center", "centre", "firm", "counsel", "attorneys",
+    "telecom", "wireless", "broadband", "utilities",
+]
 ORG_PHRASE = ["on behalf of", "law firm", "law office", "law offices", "law group", "legal aid", "school district", "office of", "city of", "county of", "state of", "public utility", "public utilities", "public knowledge", "consumer law", "attorney general"]
 
 
@@ -59,7 +63,7 @@ def news_feed(items: DataFrame, source: str = "news_google") -> DataFrame:
 
 
 def news_articles(articles: DataFrame, source: str = "news_gdelt") -> DataFrame:
-    return _records(articles, source, F.concat(F.lit("news:gdelt:"), "url"), F.col("url"), dates.compact_epoch(F.col("seendate")), F.concat("title", F.lit(" | "), "domain"), text.first_match(F.col("title"), tx.CARRIERS), "single_source")
+    return _records(articles, source, F.concat(F.lit("news:gdelt:"), "url"), F.col("url"), dates.compact_epoch(F.col("seendate")), F.concat(F.coalesce("title", F.lit("")), F.lit(" | "), F.coalesce("domain", F.lit(""))), text.first_match(F.col("title"), tx.CARRIERS), "single_source")
 
 
 def social_posts(posts: DataFrame, source: str = "bluesky") -> DataFrame:
@@ -72,7 +76,8 @@ def forum_items(hits: DataFrame, source: str = "hackernews", base: str = "https:
 
 
 def docket_records(dockets: DataFrame, source: str = "courtlistener") -> DataFrame:
-    excerpt = F.concat(F.col("case_name"), F.lit(" | "), F.col("court"), F.lit(" | docket "), F.col("docket_number"), F.lit(" | filed "), F.col("date_filed"))
+    text_of = lambda c: F.coalesce(c, F.lit(""))
+    excerpt = F.concat(text_of("case_name"), F.lit(" | "), text_of("court"), F.lit(" | docket "), text_of("docket_number"), F.lit(" | filed "), text_of("date_filed"))
     return _records(dockets, source, F.concat(F.lit("cl:"), "url"), F.col("url"), dates.filing_date(F.col("date_filed")), excerpt, text.first_match(F.col("case_name"), tx.CARRIERS), "single_source")
 
 
@@ -100,8 +105,9 @@ def comment_records(filings: DataFrame, cursor: str = "", source: str = "fcc_ecf
 
 
 def complaint_rows(rows: DataFrame, source: str = "fcc_complaints") -> DataFrame:
-    """Complaint rows (id, ticket_created, issue_type, issue, city, state, zip): phone issues only; the key is the id, else what there is."""
-    key = F.coalesce(F.concat(F.lit("socrata:"), "id"), F.concat_ws(":", F.lit("socrata"), *(F.coalesce(c, F.lit("")) for c in ("ticket_created", "city", "state", "zip"))))
+    """Complaint rows (id, ticket_created, issue_type, issue, city, state, zip): phone issues only; the key is the id, else ``:id`` if there is such a column, else what there is."""
+    ident = F.coalesce("id", "`:id`") if ":id" in rows.columns else F.col("id")
+    key = F.coalesce(F.concat(F.lit("socrata:"), F.nullif(ident, F.lit(""))), F.concat_ws(":", F.lit("socrata"), *(F.coalesce(c, F.lit("")) for c in ("ticket_created", "city", "state", "zip"))))
     excerpt = F.concat_ws(" | ", F.lit("FCC consumer complaint"), "issue", "city", "state")
     return _records(rows.where("issue_type = 'Phone'"), source, key, F.lit(None).cast("string"), dates.filing_date(F.substring("ticket_created", 1, 10)), excerpt, F.lit(None).cast("string"), "single_source")
 
