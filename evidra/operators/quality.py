@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.text import foreign_numbers, trim_all
+from evidra.operators.skew import two_level_last, two_level_running
 
 
 def reasons(*checks: tuple[Column, str]) -> Column:
@@ -33,13 +34,18 @@ def unknown_fields(raw: Column, allowed: list[str]) -> Column:
     return F.array_except(F.json_object_keys(raw), F.array(*(F.lit(a) for a in allowed)))
 
 
-def repeated_runs(df: DataFrame, group: str, order: str, value: str, least: int = 3) -> DataFrame:
-    """(group, order) where ``value`` stands for the ``least``-th time in a row, by gaps and islands."""
-    w = Window.partitionBy(group).orderBy(order)
-    island = F.row_number().over(w) - F.row_number().over(Window.partitionBy(group, value).orderBy(order))
-    runs = df.where(F.col(value).isNotNull()).withColumn("__i", island)
-    n = F.row_number().over(Window.partitionBy(group, value, "__i").orderBy(order))
-    return runs.withColumn("__n", n).where(F.col("__n") == least).select(group, order)
+def repeated_runs(df: DataFrame, group: str, order: str, value: str, least: int = 3, stretch: int = 1 << 20) -> DataFrame:
+    """(group, order) where ``value`` stands for the ``least``-th time in a row. Null values are left out first.
+
+    ``order`` is a unique number; no task orders more than a ``stretch`` of it of a group: places are counted
+    from stretch to stretch, and the place at which a run began is carried on.
+    """
+    runs = df.where(F.col(value).isNotNull()).select(group, order, value).withColumn("__stretch", F.floor(F.col(order) / stretch)).withColumn("__one", F.lit(1))
+    runs = two_level_running(runs, group, "__stretch", [order], "__one", "__n")
+    runs = two_level_last(runs, group, "__stretch", [order], value, "__before", include_own=False)
+    runs = runs.withColumn("__start", F.when(~F.col("__before").eqNullSafe(F.col(value)), F.col("__n")))
+    runs = two_level_last(runs, group, "__stretch", [order], "__start", "__began")
+    return runs.where(F.col("__n") - F.col("__began") == least - 1).select(group, order)
 
 
 def gaps(df: DataFrame, group: str, start: str, length: str) -> DataFrame:

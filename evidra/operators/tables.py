@@ -12,11 +12,37 @@ from pyspark.sql import functions as F
 from evidra.operators.skew import two_level_last, two_level_running
 
 
-def first_per_key(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of each key in ``order``; null is a key like any other. Rows with unique order columns give one answer."""
-    names = rows.columns
-    first = F.min(F.struct(*(F.col(c) if isinstance(c, str) else c for c in order), F.struct(*names).alias("__row")))
-    return rows.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(first.alias("__m")).select("__m.__row.*")
+#: Fixed value: what separates two 64-bit numbers packed into one decimal.
+_SPAN = "10000000000000000000"
+
+
+def pack(high: Column, low: Column) -> Column:
+    """Two 64-bit numbers as one number of the same order. A hash aggregate can keep its extremes, which it cannot of structs."""
+    wide = lambda c: c.cast("decimal(38,0)")
+    return (wide(high) * F.lit(_SPAN).cast("decimal(20,0)") + wide(low)).cast("decimal(38,0)")
+
+
+def unpack_low(packed: Column) -> Column:
+    """The lower of the two: the remainder nearest to zero, so of either sign up to half the span."""
+    span = F.lit(_SPAN).cast("decimal(20,0)")
+    rest = F.pmod(packed, span)
+    return F.when(rest * 2 >= span, rest - span).otherwise(rest).cast("bigint")
+
+
+def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in ``order``, the last column of which is a unique number; null is a key like any other.
+
+    Keys are hashed, never sorted: the least order of each key is aggregated, and its row is fetched by the unique number.
+    ``order`` has one or two columns of numbers, nulls last.
+    """
+    known = [F.coalesce(F.col(c).cast("bigint"), F.lit((1 << 62))) for c in order]
+    least = F.min(known[0] if len(order) == 1 else pack(*known))
+    first = rows.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(least.alias("__m"))
+    number = F.col("__m") if len(order) == 1 else unpack_low(F.col("__m"))
+    same = known[-1] == F.col("__first")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(first.withColumn("__first", number).drop("__m"), same, "left_semi")
 
 
 def insert_new(existing: DataFrame, arriving: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -85,5 +111,8 @@ def sessions(events: DataFrame, who: str, order: list[str], starts: Column, valu
     """
     df = events.withColumn("__bucket", F.floor(F.col(order[0]) / stretch)).withColumn("__start", F.when(starts, 1).otherwise(0))
     numbered = two_level_running(df, who, "__bucket", order, "__start", "__before").withColumn("session", F.col("__before") + F.col("__start"))
-    s = Window.partitionBy(who, "session").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return numbered.select(who, *order, "session", *(F.last(v, ignorenulls=True).over(s).alias(f"last_{v}") for v in values))
+    for v in values:  # the last value of the user so far, if it is of this session
+        numbered = numbered.withColumn(f"__at_{v}", F.when(F.col(v).isNotNull(), F.struct(F.col("session").alias("s"), F.col(v).alias("v"))))
+        numbered = two_level_last(numbered, who, "__bucket", order, f"__at_{v}", f"__last_{v}")
+    last = [F.when(F.col(f"__last_{v}.s") == F.col("session"), F.col(f"__last_{v}.v")).alias(f"last_{v}") for v in values]
+    return numbered.select(who, *order, "session", *last)

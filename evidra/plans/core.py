@@ -133,7 +133,7 @@ def representatives(spark: SparkSession, d: str) -> DataFrame:
 def dominant_carrier(spark: SparkSession, d: str) -> DataFrame:
     """The carrier with most records of each state; the first seen wins ties."""
     g = read(spark, d, "records").where("loc_state is not null and carrier is not null").groupBy("loc_state", "carrier").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    return g.groupBy("loc_state").agg(F.max_by(F.struct("carrier", "n"), F.struct("n", -F.col("first"))).alias("b")).select("loc_state", "b.carrier", "b.n")
+    return tables.first_per_key(g.withColumn("less", -F.col("n")), ["loc_state"], ["less", "first"]).select("loc_state", "carrier", "n")
 
 
 @query("""with c as (select state, cast(sum(complaint_count) as bigint) n from fcc_monthly_aggregates where state is not null group by 1), m as (select greatest(1, max(n)) m from c)
@@ -313,10 +313,9 @@ def recheck_due(spark: SparkSession, d: str) -> DataFrame:
 @query("select month_ym, state, zip, contact_method, complaint_count, id from (select *, row_number() over (partition by month_ym, state, zip, contact_method order by pulled_at desc, id desc) k from fcc_monthly_aggregates) where k = 1")
 def latest_pulls(spark: SparkSession, d: str) -> DataFrame:
     """The latest pull of every month, place and method, nulls being equal: what a unique key that treats nulls as different would double."""
-    f = read(spark, d, "fcc_monthly_aggregates")
+    f = read(spark, d, "fcc_monthly_aggregates").withColumn("back", -F.col("pulled_at")).withColumn("turn", -F.col("id"))
     keys = ["month_ym", "state", "zip", "contact_method"]
-    best = f.groupBy(*keys).agg(F.max_by(F.struct("complaint_count", "id"), F.struct("pulled_at", "id")).alias("b"))
-    return best.select(*keys, "b.complaint_count", "b.id")
+    return tables.first_per_key(f, keys, ["back", "turn"]).select(*keys, "complaint_count", "id")
 
 
 # ---- windows and queues on events ------------------------------------------------------------------------------

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.operators.skew import two_level_running
-from evidra.session import new_path, release
+from evidra.session import materialize
 
 
 def write_document(df: DataFrame, path: str) -> None:
@@ -19,28 +21,46 @@ def write_documents(df: DataFrame, path: str, by: str) -> None:
     df.repartition(F.col(by)).write.mode("overwrite").partitionBy(by).json(path)
 
 
+def _rename(fs, a, b) -> None:  # noqa: ANN001
+    if not fs.rename(a, b):
+        raise OSError(f"{a} could not be renamed to {b}")
+
+
 def swap(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path``: written beside it first, so that readers never see a part of it."""
-    spark = df.sparkSession
-    staged = new_path(spark, "staged")
-    df.write.parquet(staged)
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    src, dst = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
+    """Replace the table at ``path``: written beside it, the old one moved aside, the new one moved in, the old one deleted last.
+
+    If a move fails the old table is moved back, so at every moment one of the two is whole.
+    """
+    jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    tag = uuid.uuid4().hex[:12]
+    dst, new, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.new-{tag}", f"{path}.old-{tag}"))
+    df.write.parquet(new.toString())
     fs = dst.getFileSystem(conf)
-    if src.getFileSystem(conf).getUri().equals(fs.getUri()):
-        fs.delete(dst, True)
-        fs.mkdirs(dst.getParent())
-        fs.rename(src, dst)
-    else:
-        spark.read.parquet(staged).write.mode("overwrite").parquet(path)
-        release(spark, staged)
-
-
-def with_ids(rows: DataFrame, order: str, first: int = 1, name: str = "id", parts: int = 64) -> DataFrame:
-    """Consecutive ids from ``first`` in the order of a unique number column; no task orders more than a range of it."""
-    lo, hi = rows.agg(F.min(order), F.max(order)).first()
-    if lo is None:
-        return rows.withColumn(name, F.lit(None).cast("bigint"))
-    step = (hi - lo) // parts + 1
-    df = rows.withColumn("__all", F.lit(0)).withColumn("__part", F.floor((F.col(order) - lo) / step)).withColumn("__one", F.lit(1))
+    there = fs.exists(dst)
+    try:
+        if there:
+            _rename(fs, dst, old)
+        try:
+            _rename(fs, new, dst)
+        except Exception:
+            if there:
+                _rename(fs, old, dst)
+            raise
+    except Exception:
+        fs.delete(new, True)
+        raise
+    if there:
+        fs.delete(old, True)
+
+
+#: Rows that a task orders at a time when ids are given out, about.
+PART_ROWS = 1_000_000
+
+
+def with_ids(rows: DataFrame, order: str, first: int = 1, name: str = "id", part_rows: int = PART_ROWS) -> DataFrame:
+    """Consecutive ids from ``first`` in the order of a unique column. Ranges of about ``part_rows`` rows are found by sampling,
+    each is numbered by itself, and offsets are the sums of the ranges before. An empty table gives no rows."""
+    parts = max(1, -(-rows.count() // part_rows))
+    placed, _ = materialize(rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()), "ranges")
+    df = placed.withColumn("__all", F.lit(0)).withColumn("__one", F.lit(1))
     return two_level_running(df, "__all", "__part", [order], "__one", "__before").withColumn(name, F.col("__before") + first).drop("__all", "__part", "__one", "__before")

@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidra import taxonomy
@@ -106,7 +107,47 @@ def test_windows_quota_watchdog(spark, tmp_path):
     assert [x[1:] for x in w] == [("a", 5)]
     assert collect_stream(spark, inc.quota(stream(), "k", 3), tmp_path / "q", "update") == [("a", 3, 2)]
     dog = collect_stream(spark, inc.watchdog(stream(), "k", "n", "ok"), tmp_path / "d", "append")
-    assert [x[2:] for x in sorted(dog)] == [("STREAMING", 0), ("BRB", 5), ("BRB", 10), ("RESUMING", 0), ("STREAMING", 0)]
+    assert [x[2:] for x in sorted(dog)] == [("STREAMING", 0), ("BRB", 6), ("BRB", 6), ("BRB", 6), ("BRB", 6)]  # back up, but not probed yet
+
+
+def test_watchdog_probes_by_the_clock():
+    seen = [(0, True), (10, False), (12, True), (15, False), (20, True), (25, False), (44, True), (45, True), (46, True), (50, False)]
+    steps, *after = inc.watchdog_steps(seen, "STREAMING", 0, 0.0)
+    assert steps == [("STREAMING", 0), ("BRB", 15), ("BRB", 15), ("BRB", 25), ("BRB", 25), ("BRB", 45), ("BRB", 45), ("RESUMING", 0), ("STREAMING", 0), ("BRB", 55)]
+    assert inc.watchdog_steps(seen[5:], *inc.watchdog_steps(seen[:5], "STREAMING", 0, 0.0)[1:])[0] == steps[5:] and after == ["BRB", 0, 55]
+
+
+def test_a_batch_again_changes_nothing(spark, tmp_path):
+    b0 = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "k string, v int")
+    b1 = spark.createDataFrame([("a", 4), ("b", 5), (None, 6)], "k string, v int")
+    out, ok, bad, tot = (f"file://{tmp_path}/{x}" for x in ("out", "ok", "bad", "tot"))
+    for n, b in ((0, b0), (0, b0), (1, b1), (1, b1)):
+        inc.append_batch(b, n, out, ["k"], ["v"])
+        inc.route_batch(b, n, F.col("v") > 2, ok, bad)
+        inc.publish(b, tot, n)
+    assert sorted(r.v for r in spark.read.parquet(out).collect()) == [1, 2, 3, 5, 6]
+    assert sorted(r.v for r in spark.read.parquet(ok).collect()) == [3, 4, 5, 6] and sorted(r.v for r in spark.read.parquet(bad).collect()) == [1, 2]
+    assert sorted(r.v for r in inc.published(spark, tot).collect()) == [4, 5, 6]
+
+
+def test_a_swap_that_fails_keeps_the_table(spark, tmp_path, monkeypatch):
+    from evidra.sources import sinks
+
+    path = f"file://{tmp_path}/t"
+    sinks.swap(spark.range(3), path)
+    sinks.swap(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5
+    rename = sinks._rename
+
+    def fails(fs, a, b):  # noqa: ANN001, ANN202
+        if ".new-" in a.toString():
+            raise OSError("no")
+        rename(fs, a, b)
+
+    monkeypatch.setattr(sinks, "_rename", fails)
+    with pytest.raises(OSError):
+        sinks.swap(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 5 and sorted(x.name for x in tmp_path.iterdir()) == ["t"]
 
 
 def test_totals_and_routes(spark, tmp_path):
@@ -114,7 +155,7 @@ def test_totals_and_routes(spark, tmp_path):
     drop(src, "1.json", [{"k": "a", "v": 1}, {"k": "a", "v": 2}, {"k": "b", "v": None}])
     stream = lambda: inc.json_stream(spark, f"file://{src}", "k string, v int")
     inc.additive_totals(stream(), "k", {"s": F.col("v")}, f"file://{tmp_path}/tot", f"file://{tmp_path}/c1").awaitTermination()
-    assert {r.k: r.s for r in spark.read.parquet(f"file://{tmp_path}/tot").collect()} == {"a": 3, "b": None}
+    assert {r.k: r.s for r in inc.published(spark, f"file://{tmp_path}/tot").collect()} == {"a": 3, "b": None}
     inc.route(stream(), F.col("v") > 1, f"file://{tmp_path}/ok", f"file://{tmp_path}/bad", f"file://{tmp_path}/c2").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/ok").count() == 1 and spark.read.parquet(f"file://{tmp_path}/bad").count() == 2
 
