@@ -20,6 +20,23 @@ def sufficient(value: Column, n: Column, least: int = LEAST_SAMPLE) -> Column:
     return value.isNotNull() & (n >= least)
 
 
+#: The metrics of an outcome record.
+METRICS = ["sentiment_during", "sentiment_after", "message_velocity", "viewer_delta"]
+
+
+def insufficient(least: int = LEAST_SAMPLE) -> Column:
+    """Whether any of an outcome's four metrics (structs of value and n) misses the sample floor."""
+    enough = F.lit(True)
+    for m in METRICS:
+        enough = enough & sufficient(F.col(m)["value"], F.col(m)["n"], least)
+    return ~enough
+
+
+def keep_signal() -> Column:
+    """Delivered encores among an outcome's roar events."""
+    return F.size(F.filter("roar_events", lambda r: r["delivered_encore"]))
+
+
 def band(c: Column) -> Column:
     """0, 1 or 2: the third of [0, 1]."""
     return F.when(c < 1 / 3, 0).when(c < 2 / 3, 1).otherwise(2)

@@ -52,3 +52,13 @@ def gaps(df: DataFrame, group: str, start: str, length: str) -> DataFrame:
     """(group, start, expected) of rows that don't begin where the one before ends."""
     w = Window.partitionBy(group).orderBy(start)
     return df.withColumn("expected", F.lag(F.col(start) + F.col(length)).over(w)).where(F.col("expected") != F.col(start)).select(group, start, "expected")
+
+
+def citation_faults(lines: DataFrame, id_col: str, text: str, record: str, records: DataFrame) -> DataFrame:
+    """(id, fault) of ``lines``, null where all is well, against the ``records``(id, excerpt) they cite."""
+    r = records.select(F.col("id").alias("__id"), F.col("excerpt").alias("__excerpt"))
+    j = lines.select(F.col(id_col).alias("__line"), F.col(text).alias("__text"), F.col(record).alias("__cited")).join(r, F.col("__cited") == F.col("__id"), "left")
+    numbers = F.col("__text").rlike(r"[\d$]")
+    foreign = F.size(foreign_numbers(F.col("__text"), F.coalesce("__excerpt", F.lit("")))) > 0
+    fault = F.when(F.col("__cited").isNotNull() & F.col("__id").isNull(), "unknown record").when(F.col("__cited").isNull() & numbers, "number without record").when(numbers & foreign, "number not in record")
+    return j.select(F.col("__line").alias(id_col), fault.alias("fault"))

@@ -45,3 +45,15 @@ def newest_of(folders: list[DataFrame], order: str, most: int = 20) -> DataFrame
 def first_requests(requests: DataFrame, item: str, order: str) -> DataFrame:
     """A queue without repeats, in the order in which items were first asked for."""
     return requests.where(F.coalesce(item, F.lit("")) != "").groupBy(item).agg(F.min(order).alias(order))
+
+
+def recheck(due: DataFrame, answers: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``due``(key, grp, ...) with ``outcome``: unchecked where the group's answer was bad or never came, else present or gone.
+
+    ``answers``(grp, good): a row a group; ``resolved``(key): what the good answers found.
+    """
+    good = answers.where("good").select(F.col("grp").alias("__grp")).distinct()
+    found = resolved.select(F.col("key").alias("__key")).distinct()
+    met = due.join(good, F.col("grp") == F.col("__grp"), "left").join(found, F.col("key") == F.col("__key"), "left")
+    outcome = F.when(F.col("__grp").isNull(), "unchecked").when(F.col("__key").isNotNull(), "present").otherwise("gone")
+    return met.select(*due.columns, outcome.alias("outcome"))

@@ -525,23 +525,6 @@ def post_permalinks(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "bsky_items").select("delivery_id", text.post_permalink(F.col("uri")).alias("permalink"))
 
 
-@query(r"""select article_id, title || ' | ' || coalesce(site_domain, '') excerpt, case when regexp_matches(seendate, '^\d{8}T\d{6}Z?$') then epoch_us(try_strptime(substr(seendate, 1, 15), '%Y%m%dT%H%M%S')) // 1000000 end record_date, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1) host from gdelt_articles""")
-def article_records(spark: SparkSession, d: str) -> DataFrame:
-    """News articles as records: excerpt, date of a compact stamp, host."""
-    a = read(spark, d, "gdelt_articles")
-    return a.select("article_id", F.concat("title", F.lit(" | "), F.coalesce("site_domain", F.lit(""))).alias("excerpt"), dates.compact_epoch(F.col("seendate")).alias("record_date"), F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1).alias("host"))
-
-
-_FILED = r"^\d{1,2}-[A-Za-z]{3}-\d{2}(\d{2})?$"
-
-
-@query(rf"""with f as (select id, {_field_sql('filing date')} t from records where excerpt is not null) select id, case when regexp_matches(t, '{_FILED}') then epoch_us(try_strptime(case when length(t) = 9 then substr(t, 1, 7) || '20' || substr(t, 8) else t end, '%d-%b-%Y')) // 1000000 end filed from f where t is not null and regexp_matches(t, '^\d\d-[A-Za-z]{{3}}-\d\d$')""")
-def filing_dates(spark: SparkSession, d: str) -> DataFrame:
-    """Filing dates written DD-MON-YY in excerpts, as epoch seconds."""
-    r = read(spark, d, "records").where("excerpt is not null").select("id", text.excerpt_field(F.col("excerpt"), ["filing date"]).alias("t"))
-    return r.where(F.col("t").rlike(r"^\d\d-[A-Za-z]{3}-\d\d$")).select("id", dates.filing_date(F.col("t")).alias("filed"))
-
-
 @query("""select loc_state, to_json({'state': loc_state, 'records': count(*), 'carriers': count(distinct carrier)}) doc from records where loc_state is not null group by loc_state""")
 def state_documents(spark: SparkSession, d: str) -> DataFrame:
     """A published JSON document per state."""

@@ -64,11 +64,6 @@ def unknown_fields(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", quality.unknown_fields(F.col("props"), ["a", "b"]).alias("odd"))
 
 
-@query("select id, strftime(to_timestamp(capture_date) at time zone 'UTC', '%Y-%m-%d') shown from records where capture_date >= 1000000000")
-def shown_dates(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "records").where("capture_date >= 1000000000").select("id", signals.loose_date(F.col("capture_date")).alias("shown"))
-
-
 @query("select state, contact_method, cast(sum(complaint_count) as bigint) complaints from fcc_monthly_aggregates where month_ym >= '2020-01' and month_ym < '2021-01' and state is not null group by all")
 def complaints_in_window(spark: SparkSession, d: str) -> DataFrame:
     """A half-open window of months: the filter reaches the scan."""
@@ -116,23 +111,6 @@ _FIRST = lambda c: f"case {' '.join(f'when {_any_sql(c, t)} then {chr(39)}{n}{ch
 _NAMED = lambda c: "(" + " or ".join(_any_sql(c, t) for _, t in [*tx.CARRIERS, *tx.ISSUES]) + ")"
 
 
-@query(f"select uri dedupe_key, substr(text, 1, 300) excerpt, {_FIRST('text')} carrier from bsky_items where text is not null and {_NAMED('text')}")
-def post_records(spark: SparkSession, d: str) -> DataFrame:
-    """Posts that name a carrier or an issue, as records."""
-    return collectors.social_posts(read(spark, d, "bsky_items")).select("dedupe_key", "excerpt", "carrier")
-
-
-@query(f"select 'hn:' || object_id dedupe_key, substr(text, 1, 300) excerpt, {_FIRST('text')} carrier from hn_items where coalesce(text, '') <> '' and {_NAMED('text')}")
-def forum_records(spark: SparkSession, d: str) -> DataFrame:
-    h = read(spark, d, "hn_items").select("object_id", "text", F.lit(None).cast("bigint").alias("created_at"))
-    return collectors.forum_items(h).select("dedupe_key", "excerpt", "carrier")
-
-
-@query(f"select 'cl:' || url dedupe_key, substr(coalesce(case_name, '') || ' | ' || coalesce(court, '') || ' | docket ' || coalesce(docket_number, '') || ' | filed ' || coalesce(date_filed, ''), 1, 500) excerpt, {_FIRST('case_name')} carrier from docket_items")
-def docket_records(spark: SparkSession, d: str) -> DataFrame:
-    return collectors.docket_records(read(spark, d, "docket_items")).select("dedupe_key", "excerpt", "carrier")
-
-
 @query("select max(seendate) as next_cursor from gdelt_articles")
 def incremental_cursor(spark: SparkSession, d: str) -> DataFrame:
     return collectors.next_cursor(read(spark, d, "gdelt_articles"), "seendate", None).select(F.col("cursor").alias("next_cursor"))
@@ -162,12 +140,6 @@ def additive_upsert(spark: SparkSession, d: str) -> DataFrame:
     return tables.add_up(one("records"), one("arb_claims"), ["carrier"], ["n"])
 
 
-@query("""select article_id, case when strpos(title, ' - ') > 1 and length(title) - (length(title) - strpos(reverse(title), ' - ') - 1) <= 0 then '' else regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1) end as paper from gdelt_articles where title not like '% - %'""")
-def headline_papers(spark: SparkSession, d: str) -> DataFrame:
-    """The paper of headlines that don't name one: the link's host."""
-    return read(spark, d, "gdelt_articles").where(~F.col("title").like("% - %")).select("article_id", text.headline_source(F.col("title"), F.col("url")).alias("paper"))
-
-
 _JOBS = "(select o_orderkey id, case o_orderstatus when 'F' then 'done' when 'O' then 'pending' else 'claimed' end status, cast(o_orderkey % 7 as int) attempts, epoch_us(o_orderdate) // 1000000 scheduled_at from orders)"
 _NOW = 820_454_400
 

@@ -34,9 +34,11 @@ def relevant(c: Column) -> Column:
 
 def http_date(c: Column) -> Column:
     """``Mon, 1 Jan 2024 00:00:00 GMT`` or an ISO time as epoch seconds, else null."""
+    iso = F.when(text.trim_all(c).rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d)?)?$"), text.trim_all(c))
+    zoned = F.when(iso.rlike(r"[T ]\d\d:.*(Z|[+-]\d\d:\d\d)$"), iso).when(iso.rlike(r"[T ]\d\d:"), F.concat(iso, F.lit("Z"))).otherwise(F.concat(iso, F.lit("T00:00:00Z")))
     t = F.regexp_replace(text.trim_all(c), r"^[A-Za-z]{3,9},\s*", "")
-    rfc = F.regexp_replace(F.regexp_replace(t, r"\s(?:GMT|UTC|Z)$", " +0000"), r"\s+", " ")
-    return F.coalesce(F.unix_seconds(F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z"))), F.unix_seconds(F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.when(t.rlike(r"[T ]\d{2}:.*(?:Z|[+-]\d{2}:?\d{2})$"), t).otherwise(F.concat(t, F.when(t.rlike(r"[T ]\d{2}:"), "Z").otherwise("T00:00:00Z")))).try_cast("timestamp")))
+    rfc = F.when(t.rlike(r"^\d{1,2} [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d (GMT|UTC|Z|[+-]\d{4})$"), F.regexp_replace(t, r" (?:GMT|UTC|Z)$", " +0000"))
+    return F.coalesce(F.unix_seconds(F.try_to_timestamp(rfc, F.lit("d MMM yyyy HH:mm:ss Z"))), F.unix_seconds(zoned.try_cast("timestamp")))
 
 
 def _records(df: DataFrame, source: str, key: Column, url: Column, date: Column, excerpt: Column, carrier: Column, vetting: str) -> DataFrame:
