@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 
 #: Items of a shard, about. The space that open bins waste at a shard's end is below 1 / 1000 of a shard's.
 SHARD_ITEMS = 40_000
-#: Sources kept apart: written for a show or an answer, and what such texts retell.
-CONFLICTS = (("show_script", "court_filing"), ("ask_answer", "terms_page"))
-
 
 def pack(items: list[tuple[int, int, int, int]], capacity: int) -> list[int]:
     """Bins (from 0) of ``items``: (size, source bits, bits of sources it conflicts with, cluster bits), size <= capacity.
@@ -69,7 +66,7 @@ def pack(items: list[tuple[int, int, int, int]], capacity: int) -> list[int]:
     return place
 
 
-def pack_documents(sizes: DataFrame, id_col: str, size_col: str, source_col: str, cluster_col: str, capacities: DataFrame, *, conflicts: tuple[tuple[str, str], ...] = CONFLICTS, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack_documents(sizes: DataFrame, id_col: str, size_col: str, source_col: str, cluster_col: str, capacities: DataFrame, *, conflicts: tuple[tuple[str, str], ...] = (), shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(pack_id, id, piece, container_id, piece_tokens, capacity_tokens): where every item lies, for every row of ``capacities``(pack_id, capacity_tokens).
 
     An item within the capacity is one piece (0). A longer one is divided into full containers and a rest,
@@ -123,3 +120,28 @@ def fill_report(packed: DataFrame) -> DataFrame:
     """(pack_id, containers, tokens, unused_share) of a packing."""
     per = packed.groupBy("pack_id", "container_id").agg(F.sum("piece_tokens").alias("t"), F.max("capacity_tokens").alias("cap"))
     return per.groupBy("pack_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.round(1 - F.sum("t") / F.sum("cap"), 6).alias("unused_share"))
+
+
+def violations(packed: DataFrame, sizes: DataFrame, id_col: str, size_col: str, source_col: str, cluster_col: str, capacities: DataFrame, conflicts: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """(check, violations) of a packing against what was to be packed, recomputed from its rows: 0 everywhere if it is sound.
+
+    over_capacity: containers with more than their capacity; not_whole: (pack, item) whose pieces are missing, repeated
+    or don't add up; divided: items within the capacity in more than one piece; same_cluster: repeated (container, cluster);
+    conflict: containers with two sources that conflict.
+    """
+    s = sizes.select(F.col(id_col).alias("__id"), F.greatest(F.col(size_col), F.lit(1)).alias("__size"), F.col(source_col).alias("__source"), F.col(cluster_col).alias("__cluster"))
+    caps = capacities.where("capacity_tokens > 0").select(F.col("pack_id").alias("__pack"), F.col("capacity_tokens").alias("__cap"))
+    per = packed.groupBy("pack_id", "container_id").agg(F.sum("piece_tokens").alias("t"), F.max("capacity_tokens").alias("cap"))
+    n = lambda name, df: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
+    wanted = s.join(F.broadcast(caps))  # a row per container size
+    got = packed.groupBy(F.col("pack_id").alias("gp"), F.col(id_col).alias("gi")).agg(F.sum("piece_tokens").alias("gt"), F.count(F.lit(1)).alias("gn"), F.countDistinct("piece").alias("gd"))
+    both = wanted.join(got, (F.col("__pack") == F.col("gp")) & (F.col("__id") == F.col("gi")), "full")
+    whole = F.col("gi").isNotNull() & F.col("__id").isNotNull() & (F.col("gt") == F.col("__size")) & (F.col("gn") == F.col("gd"))
+    inside = packed.select("pack_id", "container_id", F.col(id_col).alias("gi")).join(s, F.col("gi") == F.col("__id"))
+    twice = inside.where(F.col("__cluster").isNotNull()).groupBy("pack_id", "container_id", "__cluster").agg(F.countDistinct("__id").alias("n")).where("n > 1")
+    out = n("over_capacity", per.where("t > cap")).union(n("not_whole", both.where(~F.coalesce(whole, F.lit(False))))).union(n("divided", both.where("__size <= __cap and gn > 1"))).union(n("same_cluster", twice))
+    apart = F.lit(False)
+    has = inside.groupBy("pack_id", "container_id").agg(F.collect_set("__source").alias("sources"))  # at most a name per source
+    for a, b in conflicts:
+        apart = apart | (F.array_contains("sources", a) & F.array_contains("sources", b))
+    return out.union(n("conflict", has.where(apart)))

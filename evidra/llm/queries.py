@@ -9,7 +9,10 @@ from evidra.llm import components, mixing, packing, quantiles, sentences, tokens
 from evidra.session import materialize, table
 
 CAP_CENTS = 2_500_000
+#: Sources that p7_conflict_check keeps apart.
+APART = (("show_script", "court_filing"), ("ask_answer", "terms_page"))
 PERCENTS = [10, 25, 50, 75, 90, 99]
+FINE = [0.1, 12.5, 50.0, 99.9, 99.99]
 
 
 # ---- p4: percentiles -------------------------------------------------------------------------------------------
@@ -79,6 +82,32 @@ def p4_year_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.state_percentiles(quantiles.combine(s, keys), keys, PERCENTS)
 
 
+def p4_fine_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fractional percentiles of the claims of every carrier."""
+    a = table(spark, sf_dir, "arb_claims").select("carrier", "claim_consumer_cents")
+    return quantiles.exact_percentiles(a, ["carrier"], "claim_consumer_cents", FINE)
+
+
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "arb_claims").select("sweep_day", "carrier", (F.col("award_consumer_cents") - F.col("claim_consumer_cents")).alias("cents"))
+
+
+def p4_signed_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of award less claim, mostly negative, of carriers and years, from the states of sweep days."""
+    s = quantiles.day_states(_signed(spark, sf_dir), "sweep_day", ["carrier"], "cents").withColumn("year", F.year("sweep_day"))
+    return quantiles.state_percentiles(quantiles.combine(s, ["year", "carrier"]), ["year", "carrier"], PERCENTS)
+
+
+def p4_signed_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed percentiles whose exact value lies outside the bounds of the combined states: none."""
+    exact = quantiles.exact_percentiles(_signed(spark, sf_dir).withColumn("year", F.year("sweep_day")), ["year", "carrier"], "cents", PERCENTS)
+    e = exact.select(F.col("year").alias("y"), F.col("carrier").alias("c"), F.col("percentile").alias("p"), "value", F.col("n").alias("en"))
+    s = p4_signed_percentiles(spark, sf_dir)
+    both = s.join(e, F.col("year").eqNullSafe(F.col("y")) & F.col("carrier").eqNullSafe(F.col("c")) & (F.col("percentile") == F.col("p")), "full")
+    good = F.col("value").between(F.col("value_low"), F.col("value_high")) & (F.col("n") == F.col("en"))
+    return both.agg(F.count(F.when(~F.coalesce(good, F.lit(False)), 1)).alias("violations"))
+
+
 # ---- p5: texts cut off -----------------------------------------------------------------------------------------
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records whose excerpt, or the title in it, was cut."""
@@ -95,6 +124,18 @@ def p5_source_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("share", F.round(F.col("n_cut") / F.col("n_rows"), 6))
 
 
+def p5_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would be wrong with p5_found: ids twice, ids of no record or of one without an excerpt, shares that don't add up to it."""
+    found, rec = materialize(p5_found(spark, sf_dir), "cut-ids")[0], table(spark, sf_dir, "records").select("id", "excerpt")
+    shares = p5_source_shares(spark, sf_dir).agg(F.sum("n_cut").alias("cut"), F.sum("n_rows").alias("all")).crossJoin(found.agg(F.count(F.lit(1)).alias("n")))  # one row each
+    total = rec.agg(F.count(F.lit(1)).alias("records"))
+    twice = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    stray = found.join(rec.where(F.col("excerpt").rlike(r"\S")), "id", "left_anti")
+    n = lambda name, df: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
+    odd = shares.crossJoin(total).where("cut <> n or all <> records")
+    return n("twice", twice).union(n("no_such_value", stray)).union(n("shares", odd))
+
+
 # ---- p6: groups of linked records ------------------------------------------------------------------------------
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records linked, directly or through others, to another record, with the smallest id of their group."""
@@ -129,6 +170,20 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, sf_dir))
 
 
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would be wrong with p7_containers, recomputed from its rows."""
+    sizes, packs = _doc_tokens(spark, sf_dir), table(spark, sf_dir, "pack_sizes")
+    packed, _ = materialize(packing.pack_documents(sizes, "doc_id", "tokens", "source", "cluster", packs), "packed")
+    return packing.violations(packed, sizes, "doc_id", "tokens", "source", "cluster", packs)
+
+
+def p7_conflict_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where two pairs of sources are kept apart."""
+    sizes, packs = _doc_tokens(spark, sf_dir), table(spark, sf_dir, "pack_sizes")
+    packed, _ = materialize(packing.pack_documents(sizes, "doc_id", "tokens", "source", "cluster", packs, conflicts=APART), "packed")
+    return packing.violations(packed, sizes, "doc_id", "tokens", "source", "cluster", packs, APART)
+
+
 # ---- p8: mixing sources ----------------------------------------------------------------------------------------
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(_doc_tokens(spark, sf_dir), "doc_id", "tokens", "source", table(spark, sf_dir, "mix_targets"))
@@ -144,13 +199,36 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would be wrong with p8_mix: (slot, document) or copy used twice, more uses than allowed, tokens that are not the document's,
+    and shares further from the target (among sources with documents) than a document's length and a hundredth."""
+    sizes, targets = _doc_tokens(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    chosen, report = mixing.mix(sizes, "doc_id", "tokens", "source", targets)
+    chosen, report = materialize(chosen, "mixed")[0], materialize(report, "mix-report")[0]
+    twice = chosen.groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    s = sizes.select("doc_id", F.col("tokens").alias("t"), F.col("source").alias("src"))
+    stray = chosen.join(s, "doc_id", "left").where("t is null or t <> tokens or src <> source")
+    there = report.where("tokens > 0").agg(F.sum("target_share").alias("w"))
+    wrong = report.where("tokens > 0").crossJoin(there).where("abs(actual_share - target_share / w) > 0.01")  # a row per target
+    n = lambda name, df: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
+    return n("copy_twice", twice).union(n("too_often", report.where("most_copies > max_repeats"))).union(n("not_the_document", stray)).union(n("share", wrong))
+
+
 # ---- p9: sentences ---------------------------------------------------------------------------------------------
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every document with its place."""
     return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p4_percentiles, p4_claim_stats, p4_all_percentiles, p4_all_claim_stats, p4_day_states, p4_year_percentiles, p5_found, p5_source_shares, p6_found, p6_groups, p7_containers, p7_fill, p8_mix, p8_shares, p9_found)}
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What would be wrong with p9_found: overlaps, white space at an end, characters that are no white space and in no sentence, documents without a sentence."""
+    found, _ = materialize(p9_found(spark, sf_dir), "sentences")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = docs.where("text is not null").join(found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_start", "sent_end"))).alias("s")), "doc_id", "left")
+    return sentences.violations(texts, "text", "s")
+
+
+QUERIES = {q.__name__: q for q in (p4_percentiles, p4_claim_stats, p4_all_percentiles, p4_all_claim_stats, p4_day_states, p4_year_percentiles, p4_fine_percentiles, p4_signed_percentiles, p4_signed_check, p5_found, p5_source_shares, p5_check, p6_found, p6_groups, p7_containers, p7_fill, p7_check, p7_conflict_check, p8_mix, p8_shares, p8_check, p9_found, p9_check)}
 
 _AMOUNTS = f"""
 with a as (select sweep_day, carrier, claim_consumer_cents cents from arb_claims where claim_consumer_cents is not null),
@@ -161,11 +239,19 @@ k as (
   union all select sweep_day, cents, 'all', null, 'capped' from a where cents <= {CAP_CENTS}
 )"""
 _PCTS = ", ".join(f"({p})" for p in PERCENTS)
-_BUCKET = f"case when cents < {1 << quantiles.BITS} then cents else (length(bin(cents)) - {quantiles.BITS}) * {1 << quantiles.BITS} + (cents >> (length(bin(cents)) - 1 - {quantiles.BITS})) - {1 << quantiles.BITS} end"
+_B0 = f"case when abs(cents) < {1 << quantiles.BITS} then abs(cents) else (length(bin(abs(cents))) - {quantiles.BITS}) * {1 << quantiles.BITS} + (abs(cents) >> (length(bin(abs(cents))) - 1 - {quantiles.BITS})) - {1 << quantiles.BITS} end"
+_BUCKET = f"sign(cents) * ({_B0})"
 _RANKED = """
 , r as (select {keys}, {v} v, row_number() over (partition by {keys} order by {v}) rn, count(*) over (partition by {keys}) n from k)
 select {keys}, percentile, {out} from r join (values {pcts}) t(percentile) on rn = greatest(1, (n * percentile + 99) // 100)"""
 
+_BY_YEAR = f""", b as (select year(sweep_day) y, {{keys}}, cast({_BUCKET} as bigint) bucket from {{rows}}),
+r as (select y, {{keys}}, bucket b, row_number() over (partition by y, {{keys}} order by bucket) rn, count(*) over (partition by y, {{keys}}) n from b),
+e as (select *, abs(b) // {1 << quantiles.BITS} - 1 e from r join (values {_PCTS}) t(percentile) on rn = greatest(1, (n * percentile + 99) // 100)),
+w as (select *, case when abs(b) < {1 << quantiles.BITS} then abs(b) else (abs(b) - e * {1 << quantiles.BITS}) << e end low, case when abs(b) < {1 << quantiles.BITS} then abs(b) else ((abs(b) - e * {1 << quantiles.BITS} + 1) << e) - 1 end high from e)
+select cast(y as int) as year, {{keys}}, percentile, n, case when b < 0 then -high else low end value_low, case when b < 0 then -low else high end value_high from w"""
+_SOUND = "select c as check, 0 violations from (values ('over_capacity'), ('not_whole'), ('divided'), ('same_cluster'), ('conflict')) t(c)"
+
 SQL = {
     "p4_percentiles": _AMOUNTS + _RANKED.format(keys="scope, carrier, measure", v="cents", pcts=_PCTS, out="v as value, n, cast(0 as bigint) error_bound"),
     "p4_claim_stats": _AMOUNTS
@@ -174,12 +260,15 @@ SQL = {
 select scope, carrier, count(*) claim_capped_rows, cast(sum(cents) as bigint) claim_capped_total_cents, max(case when rn = greatest(1, (n * 50 + 99) // 100) then cents end) claim_median_cents_approx
 from r group by scope, carrier""",
     "p4_day_states": _AMOUNTS + f" select scope, carrier, measure, sweep_day, cast({_BUCKET} as bigint) bucket, count(*) n, cast(sum(cents) as bigint) total from k group by all",
-    "p4_year_percentiles": _AMOUNTS
-    + f""", b as (select year(sweep_day) y, scope, carrier, measure, cast({_BUCKET} as bigint) bucket from k),
-r as (select y, scope, carrier, measure, bucket b, row_number() over (partition by y, scope, carrier, measure order by bucket) rn, count(*) over (partition by y, scope, carrier, measure) n from b),
-e as (select *, b // {1 << quantiles.BITS} - 1 e from r join (values {_PCTS}) t(percentile) on rn = greatest(1, (n * percentile + 99) // 100))
-select cast(y as int) as year, scope, carrier, measure, percentile, n, case when b < {1 << quantiles.BITS} then b else (b - e * {1 << quantiles.BITS}) << e end value_low,
- case when b < {1 << quantiles.BITS} then b else ((b - e * {1 << quantiles.BITS} + 1) << e) - 1 end value_high from e""",
+    "p4_year_percentiles": _AMOUNTS + _BY_YEAR.format(keys="scope, carrier, measure", rows="k"),
+    "p4_signed_percentiles": "with k as (select sweep_day, carrier, award_consumer_cents - claim_consumer_cents cents from arb_claims where award_consumer_cents is not null and claim_consumer_cents is not null)" + _BY_YEAR.format(keys="carrier", rows="k"),
+    "p4_signed_check": "select 0 violations",
+    "p4_fine_percentiles": f"""with r as (select carrier, claim_consumer_cents v, row_number() over (partition by carrier order by claim_consumer_cents) rn, count(*) over (partition by carrier) n from arb_claims where claim_consumer_cents is not null)
+select carrier, cast(percentile as double) percentile, v as value, n from r join (values {", ".join(f"({p})" for p in FINE)}) t(percentile) on rn = greatest(1, cast(ceil(n * cast(percentile as decimal(12,4)) / 100) as bigint))""",
+    "p5_check": "select c as check, 0 violations from (values ('twice'), ('no_such_value'), ('shares')) t(c)",
+    "p7_check": _SOUND, "p7_conflict_check": _SOUND,
+    "p8_check": "select c as check, 0 violations from (values ('copy_twice'), ('too_often'), ('not_the_document'), ('share')) t(c)",
+    "p9_check": "select c as check, 0 violations from (values ('overlap'), ('blank_edge'), ('left_out'), ('no_sentence')) t(c)",
     "p6_found": """
 with recursive e as (
   select distinct greatest(record_id_a, record_id_b) a, least(record_id_a, record_id_b) b from links

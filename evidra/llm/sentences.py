@@ -521,3 +521,27 @@ def sentences(docs: DataFrame, id_col: str, text_col: str, *, model: SentenceMod
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(cut, f"i {kind}, sent_start bigint, sent_end bigint").withColumnRenamed("i", id_col)
+
+
+def violations(texts: DataFrame, text_col: str, spans_col: str) -> DataFrame:
+    """(check, violations) of ``texts`` with their sentences (an array of start and end, in order; null for none): all 0 if they are sound.
+
+    Sentences must not overlap nor begin or end with white space, and what lies between them must be blank.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad = Counter(dict.fromkeys(("overlap", "blank_edge", "left_out", "no_sentence"), 0))
+        for b in batches:
+            for t, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = 0
+                for s in spans or []:
+                    start, end = s["sent_start"], s["sent_end"]
+                    bad["overlap"] += start < at or end <= start
+                    bad["blank_edge"] += t[start:end] != t[start:end].strip()
+                    bad["left_out"] += bool(t[at:start].strip())
+                    at = end
+                bad["left_out" if spans else "no_sentence"] += bool(t[at:].strip())
+        yield pa.RecordBatch.from_arrays([pa.array(list(bad)), pa.array(list(bad.values()), pa.int64())], ["check", "violations"])
+
+    got = texts.select(text_col, spans_col).mapInArrow(look, "check string, violations bigint")
+    return got.groupBy("check").agg(F.sum("violations").alias("violations"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("EVIDRA_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: how the vocabulary's texts are split before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts longer than this are encoded in pieces cut before white space, so that time stays linear; the count may differ by one a cut.
+#: Longer texts are encoded in pieces of about so many characters, so that memory stays small. A piece ends where the pattern ends a match, so no count changes.
 PIECE = 50_000
 
 
@@ -28,14 +28,34 @@ def _encoder(path: str):
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=1)
+def _splitter():
+    import regex
+
+    return regex.compile(PATTERN)
+
+
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """``text`` in pieces of at least ``size`` characters, each ending with a match of the pattern that is no white space: merges never
+    cross such an end, and what the pattern sees of white space depends on what follows it, which then is in the piece too."""
+    start = 0
+    while len(text) - start > size:
+        end = len(text)
+        for m in _splitter().finditer(text, start):
+            if m.end() - start >= size and not text[m.end() - 1].isspace():
+                end = m.end()
+                break
+        yield text[start:end]
+        start = end
+    if start < len(text):
+        yield text[start:]
+
+
 def count_tokens(text: str, path: str = VOCABULARY) -> int:
-    enc, n, at = _encoder(path), 0, 0
-    while len(text) - at > PIECE:
-        cut = max(text.rfind(" ", at + PIECE // 2, at + PIECE), text.rfind("\n", at + PIECE // 2, at + PIECE))
-        cut = cut if cut > at else at + PIECE
-        n += len(enc.encode_ordinary(text[at:cut]))
-        at = cut
-    return n + len(enc.encode_ordinary(text[at:]))
+    enc = _encoder(path)
+    if len(text) <= PIECE:
+        return len(enc.encode_ordinary(text))
+    return sum(len(enc.encode_ordinary(p)) for p in pieces(text))
 
 
 def token_counts(docs: DataFrame, text_col: str, keep: list[str], *, path: str = VOCABULARY, out: str = "tokens") -> DataFrame:
