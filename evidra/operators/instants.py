@@ -12,13 +12,14 @@ whose order is open are read in the feed's order; where only one order gives a d
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from evidra.operators.skew import salted_lookup
-from evidra.session import materialize, new_path
+from evidra.session import exists, materialize, new_path
 
 #: Zone abbreviations and their offsets in seconds.
 ABBREVIATIONS = {
@@ -81,8 +82,12 @@ def _known_zone(zone: Column, zones: list[str]) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for z in zones for x in (z.lower(), z))), F.lower(zone))
 
 
-def parse_texts(texts: DataFrame) -> DataFrame:
-    """``texts``(raw, zone, date_order) with ``utc_second``; one narrow pass without Python."""
+def parse_texts(texts: DataFrame, years: tuple[int, int] = (FIRST_YEAR, LAST_YEAR)) -> DataFrame:
+    """``texts``(raw, zone, date_order) with ``utc_second``; one narrow pass without Python.
+
+    ``years``: within them two-digit years and their open orders are resolved, and digits alone are an epoch; a four-digit year stands as written.
+    """
+    first_year, last_year = years
     spark = texts.sparkSession
     zones = sorted(z for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds() if "/" in z and not z.startswith(("Etc/", "SystemV/")))
     t = F.regexp_replace(F.col("raw"), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
@@ -98,7 +103,7 @@ def parse_texts(texts: DataFrame) -> DataFrame:
     short = F.length(p[2]) == 2
     mdy, dmy = _civil(_full_year(p[2]), _int(p[0]), _int(p[1])), _civil(_full_year(p[2]), _int(p[1]), _int(p[0]))
     ymd = F.when(short & (F.length(p[0]) == 2), _civil(_full_year(p[0]), _int(p[1]), _int(p[2])))
-    inside = lambda days: F.when(~short | days.between(F.unix_date(F.make_date(F.lit(FIRST_YEAR), F.lit(1), F.lit(1))), F.unix_date(F.make_date(F.lit(LAST_YEAR), F.lit(12), F.lit(31)))), days)
+    inside = lambda days: F.when(~short | days.between(F.unix_date(F.make_date(F.lit(first_year), F.lit(1), F.lit(1))), F.unix_date(F.make_date(F.lit(last_year), F.lit(12), F.lit(31)))), days)
     readings = F.array_distinct(F.array_compact(F.array(*(inside(x) for x in (mdy, dmy, ymd)))))
     named = F.when(F.col("date_order") == "mdy", inside(mdy)).when(F.col("date_order") == "dmy", inside(dmy)).when(F.col("date_order") == "ymd", inside(ymd))
     opened = F.coalesce(named, F.when(F.size(readings) == 1, readings[0]))
@@ -123,7 +128,7 @@ def parse_texts(texts: DataFrame) -> DataFrame:
     df = df.withColumn("__off", offset).withColumn("__wall", wall)
     timed = F.when(F.col("__off").isNotNull(), F.col("__local") - F.col("__off")).when(F.col("__wall") == "UTC", F.col("__local")).otherwise(_wall_to_utc(F.col("__local"), F.col("__wall")))
     epoch = F.regexp_extract("__t", _EPOCH, 1)
-    low, high = int((FIRST_YEAR - 1970) * 365.2425) * 86_400 - 172_800, int((LAST_YEAR + 1 - 1970) * 365.2425) * 86_400 + 172_800
+    low, high = int((first_year - 1970) * 365.2425) * 86_400 - 172_800, int((last_year + 1 - 1970) * 365.2425) * 86_400 + 172_800
     number = F.when(epoch != "", epoch).cast("bigint")
     second = F.when(epoch != "", F.when(number.between(low, high), number)).when(F.col("__dated"), F.col("__days").cast("bigint") * 86_400).otherwise(timed)
     two_digits = F.col("__form").isin("open", "dmon", "mond") & short
@@ -140,11 +145,17 @@ class InstantDictionary:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or new_path(spark, "instants")
 
+    def _parts(self) -> list[str]:
+        """The whole parts of the table, a folder for each call that learned something."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f.getPath().toString() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(f for f in found if exists(self.spark, f"{f}/_SUCCESS"))
+
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(DICTIONARY).parquet(self.path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], DICTIONARY)
+        """All parts by name: Spark takes two scans of one folder for the same even if files came in between."""
+        parts = self._parts()
+        return self.spark.read.schema(DICTIONARY).parquet(*parts) if parts else self.spark.createDataFrame([], DICTIONARY)
 
     @staticmethod
     def count(rows: DataFrame) -> DataFrame:
@@ -161,7 +172,7 @@ class InstantDictionary:
         seen = old.select(_key().alias("k"), F.col("raw").alias("r"), F.col("zone").alias("z"), F.col("date_order").alias("o"))
         same = (F.col("key") == F.col("k")) & (F.col("raw") == F.col("r")) & F.col("zone").eqNullSafe(F.col("z")) & F.col("date_order").eqNullSafe(F.col("o"))
         new = counts if old.isEmpty() else counts.join(seen, same, "left_anti")
-        parse_texts(new.select("raw", "zone", "date_order")).write.mode("append").parquet(self.path)
+        parse_texts(new.select("raw", "zone", "date_order")).write.parquet(f"{self.path}/texts-{uuid.uuid4().hex[:12]}")
         return self.read().count()
 
     def apply(self, rows: DataFrame, ids: list[str], counts: DataFrame | None = None) -> DataFrame:

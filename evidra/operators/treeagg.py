@@ -19,7 +19,7 @@ _MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def chunk_plan(df: DataFrame, chunk_rows: int) -> tuple[int, int]:
-    """(partitions, chunks of the longest partition), from a pass that reads no columns."""
+    """(partitions, chunks of the longest partition), from a pass over the row numbers; a filter before it reads its own columns."""
     mid = F.monotonically_increasing_id()
     r = df.select(mid.alias("m")).agg(F.max(F.shiftright("m", 33)).alias("p"), F.max(F.col("m").bitwiseAND((1 << 33) - 1)).alias("r")).first()
     return (0, 0) if r.p is None else (r.p + 1, r.r // chunk_rows + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -352,12 +353,36 @@ def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def snapshot_diffs(spark: SparkSession, d: str) -> DataFrame:
     """Line differences between a page's documents in the order of capture, where the text changed."""
-    docs = read(spark, d, "documents").where("origin_url is not null and text is not null").select("origin_url", "captured_at", "doc_id", F.regexp_replace("text", r"(?<=[.!?])\s+", "\n").alias("body"))
-    docs = docs.withColumn("month", F.year("captured_at") * 12 + F.month("captured_at"))
-    pairs = two_level_last(docs, "origin_url", "month", ["captured_at", "doc_id"], "body", "old", include_own=False).where(F.sha2("old", 256) != F.sha2("body", 256))
+    pairs = _snapshot_pairs(spark, d)
     return pairs.select("origin_url", "doc_id", diffs.line_diff_column(F.col("old"), F.col("body"), F.lit("before"), F.lit("after")).alias("diff"))
 
 
+def _snapshot_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """(origin_url, doc_id, old, body): windows see ids and digests only; texts are fetched for the steps that changed."""
+    docs = read(spark, d, "documents").where("origin_url is not null and text is not null")
+    body = docs.select("doc_id", F.regexp_replace("text", r"(?<=[.!?])\s+", "\n").alias("body"))
+    steps = docs.select("origin_url", "captured_at", "doc_id", F.sha2(F.regexp_replace("text", r"(?<=[.!?])\s+", "\n"), 256).alias("h"))
+    steps = steps.withColumn("month", F.year("captured_at") * 12 + F.month("captured_at")).withColumn("self", F.struct("doc_id", "h"))
+    changed = two_level_last(steps, "origin_url", "month", ["captured_at", "doc_id"], "self", "before", include_own=False).where(F.col("before.h") != F.col("h")).select("origin_url", "doc_id", F.col("before.doc_id").alias("old_id"))
+    old = body.select(F.col("doc_id").alias("old_id"), F.col("body").alias("old"))
+    return changed.join(body, "doc_id").join(old, "old_id").select("origin_url", "doc_id", "old", "body")
+
+
+@query("""with s as (select doc_id, regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g') body, origin_url, captured_at from documents where origin_url is not null and text is not null),
+l as (select *, lag(body) over (partition by origin_url order by captured_at, doc_id) old from s)
+select count(*) changed, 0 wrong from l where old <> body""")
+def snapshot_diffs_check(spark: SparkSession, d: str) -> DataFrame:
+    """Changed steps, and those whose difference does not give back both texts."""
+    pairs = _snapshot_pairs(spark, d)
+
+    @F.pandas_udf("boolean")
+    def wrong(old: pd.Series, new: pd.Series) -> pd.Series:
+        made = [diffs.line_diff(o, n) for o, n in zip(old, new)]
+        return pd.Series([diffs.COARSE not in x and diffs.apply_diff(x) != (o.split("\n") if o else [], n.split("\n") if n else []) for x, o, n in zip(made, old, new)])
+
+    return pairs.agg(F.count(F.lit(1)).alias("changed"), F.count(F.when(wrong("old", "body"), 1)).cast("int").alias("wrong"))
+
+
 @query(f"select user_id, event_id, k from (select user_id, event_id, row_number() over (partition by user_id order by epoch desc, event_id desc) k from {_EV}) where k <= 3")
 def top3_recent_per_user(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.desc("epoch"), F.desc("event_id"))
@@ -395,6 +420,16 @@ def rotation_plan(spark: SparkSession, d: str) -> DataFrame:
     return schedule.rotation(e, "event_type", [(f"t{i:02d}", i % 3 == 0) for i in range(40)])
 
 
+@query("select 'slots' as check, count(distinct (event_type, epoch // 3600 * 3600 + o)) n from " + _EV + f" join (values {_SLOTS}) t(i, k, o, w) on epoch % 3600 >= o and epoch % 3600 < o + w where k = 'music' union all select 'rested_too_little', 0")
+def rotation_check(spark: SparkSession, d: str) -> DataFrame:
+    """Music slots that got a track, and tracks that came again before they had rested (there are enough tracks for none)."""
+    plan = rotation_plan(spark, d)
+    gap = F.col("slot_start") - F.lag("slot_start").over(Window.partitionBy("event_type", "track_id").orderBy("slot_start"))
+    early = plan.withColumn("gap", gap).where(F.col("gap") < schedule.REST_SECONDS)
+    n = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
+    return n("slots", plan).union(n("rested_too_little", early))
+
+
 @query(f"select user_id, event_id, least(60 * pow(2, greatest(0, n - 1)), 3600)::bigint wait_s from (select user_id, event_id, row_number() over (partition by user_id order by epoch, event_id) n from {_EV} where event_type = 'error')")
 def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
     """Seconds to wait after each of a user's errors in turn."""
@@ -465,6 +500,16 @@ def topic_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.top_documents(read(spark, d, "records").select("id", "excerpt"), "id", "excerpt", _questions(spark))
 
 
+@query(f"""with {_INDEX}, ok as (select id from records where review_status = 'cleared' and vetting_status in ('corroborated', 'verified_primary')),
+r as (select qid, p.id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / a))), 6) score from q join p using (term) join f using (term) join t on t.id = p.id cross join s where p.id in (from ok) group by qid, p.id)
+select qid, id, score, place from (select *, row_number() over (partition by qid order by score desc, id) place from r) where place <= 5""")
+def topic_shown_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The five best for each question among the records that may be shown; statistics stay those of all."""
+    r = read(spark, d, "records")
+    shown = r.where((F.col("review_status") == "cleared") & F.col("vetting_status").isin("corroborated", "verified_primary")).select("id")
+    return search.top_documents(r.select("id", "excerpt"), "id", "excerpt", _questions(spark), eligible=shown)
+
+
 @query(f"""with {_INDEX}, m as (select qid, count(distinct id) matching from q join p using (term) group by 1) select qid, coalesce(matching, 0) matching, case when matching > 0 then 'answered' else 'no results' end outcome from (values {_Q}) v(qid, question) left join m using (qid)""")
 def cite_or_refuse(spark: SparkSession, d: str) -> DataFrame:
     """Questions with the number of records that hold one of their words; without any there is nothing to cite, so no answer."""
@@ -492,6 +537,16 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").where("text is not null").select("doc_id", text.page_lines(html).alias("lines"))
 
 
+@query(r"""with t as (select doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '<[^>]+>', chr(10), 'g'), '\r?\n', chr(10), 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda x: length(x) > 0) l from documents where text is not null)
+select doc_id, length(array_to_string(list_filter(l, lambda x, i: i = 1 or x <> l[i - 1]), ' ')) n from t where not regexp_matches(array_to_string(l, ' '), '[&?]')""")
+def page_text_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of the pages' texts, of documents without entities and addresses with parameters."""
+    p = page_text(spark, d)
+    plain = ~F.regexp_replace(text.squeeze(F.regexp_replace("text", "<[^>]+>", " ")), r"\s", " ").rlike("[&?]")
+    ok = read(spark, d, "documents").where(F.col("text").isNotNull() & plain).select("doc_id")
+    return p.join(ok, "doc_id", "left_semi").select("doc_id", F.length("lines").cast("bigint").alias("n"))
+
+
 @query(r"select doc_id, len(p) pieces, array_to_string(p, '') = text lossless, p[1] opening from (select doc_id, text, regexp_extract_all(text, '(?s).*?[.!?]+(?:\s+|\z)|.+\z') p from documents where text is not null and text <> '')")
 def lossless_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Texts in pieces to be spoken, which joined are the text again."""

@@ -50,6 +50,22 @@ def p2_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instants.normalise(timed_texts(spark, sf_dir), ["item_table", "item_id"])
 
 
+def p2_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose instant is another when the four tables come one after the other, each adding to one kept dictionary only the texts
+    it does not know yet; and texts that stand in the dictionary twice. None of either."""
+    rows, d = timed_texts(spark, sf_dir), instants.InstantDictionary(spark)
+    step = None
+    for name in ("gdelt_articles", "bsky_items", "hn_items", "docket_items"):
+        part = instants.normalise(rows.where(F.col("item_table") == name), ["item_table", "item_id"], d)
+        step = part if step is None else step.union(part)
+    once = p2_instants(spark, sf_dir).select(F.col("item_table").alias("t"), F.col("item_id").alias("i"), F.col("utc_second").alias("u"))
+    both = step.join(once, (F.col("item_table") == F.col("t")) & (F.col("item_id") == F.col("i")), "full")
+    wrong = both.where(~F.coalesce(F.col("utc_second").eqNullSafe(F.col("u")) & F.col("t").isNotNull() & F.col("item_table").isNotNull(), F.lit(False)))
+    twice = d.read().groupBy("raw", "zone", "date_order").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    n = lambda name, df: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
+    return n("other_instant", wrong).union(n("text_twice", twice))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose time text denotes exactly one instant."""
     return p2_instants(spark, sf_dir).where(F.col("utc_second").isNotNull())
@@ -91,7 +107,7 @@ def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("tbl").alias("item_table"), F.col("id").alias("item_id"), "batch")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_carrier_monthly_mentions, p1_state_signal, p2_found, p2_instants, p3_found, p3_kept, p3_batches)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_carrier_monthly_mentions, p1_state_signal, p2_found, p2_instants, p2_check, p3_found, p3_kept, p3_batches)}
 
 _NORMAL = r"""case when strpos(t, ':') > 0 then lower(substr(t, 1, strpos(t, ':'))) || substr(t, strpos(t, ':') + 1) else t end"""
 _DELIVERED = rf"""
@@ -104,6 +120,7 @@ with raw as (
 )"""
 
 SQL = {
+    "p2_check": "select c as check, 0 violations from (values ('other_instant'), ('text_twice')) t(c)",
     "p1_found": """
 with c as (
   select 'carrier' key_field, carrier key_value, count(*) n from records where carrier is not null group by carrier

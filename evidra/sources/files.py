@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -110,6 +111,19 @@ class _WorkbookReader(DataSourceReader):
                 yield partition.value, i, cells
 
 
+def workbook_rows(files: DataFrame) -> DataFrame:
+    """(path, row, cells) of ``files``(path, content) of the binaryFile source, so of any storage that Spark reads; a file that is no workbook gives no rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                if bytes(content[:2]) == b"PK":
+                    cells = list(_cells(bytes(content)))
+                    yield pd.DataFrame({"path": path, "row": range(len(cells)), "cells": cells})
+
+    return files.select("path", "content").mapInPandas(run, "path string, row int, cells array<string>")
+
+
 def workbook_table(rows: DataFrame, header: list[str]) -> DataFrame:
     """Rows of one workbook as a table with the names of its first row, which the caller has read."""
     return rows.where("row > 0").select("path", "row", *(F.get("cells", F.lit(i)).alias(h) for i, h in enumerate(header)))
