@@ -33,13 +33,13 @@ HELD_COUNTS = 200_000
 #: The classifier's weights are fitted on about this many documents, chosen by a hash of their id; never more than 1.25 times as many.
 TRAIN_DOCS = 6_000
 
-_LINE = r"(?:\r\n|[\n\r\x85\u2028])"
-_BLANK = re.compile(rf"{_LINE}(?:[^\S\n\r\x85\u2028\u2029]*{_LINE})+|\u2029")
+#: A line break, then at least one more with only white space between; a paragraph mark alone. Atomic, so the two characters of one break are never taken for two.
+_BLANK = re.compile(r"[\n\r\x85\u2028\u2029](?:(?<=\u2029)|(?:(?<=\r)\n)?+(?:[^\S\n\r\x85\u2028\u2029]*(?>\r\n|[\n\r\x85\u2028]))+)")
 #: Marks that end sentences; those in NOSPACE also where no space follows.
 _NOSPACE = "。！？｡"
 _MARKS = ".!?…" + _NOSPACE + "．।॥۔؟։።፧។။།𑅁;\u037e"
 _CLOSE = "\"')]}»”’›“‘」』）】》〉«"
-_CAND = re.compile(rf"[{re.escape(_MARKS)}]+(?:\xa0?[{re.escape(_MARKS)}])*[{re.escape(_CLOSE)}]*")
+_CAND = re.compile(rf"[{re.escape(_MARKS)}][{re.escape(_MARKS)}]*(?:\xa0?[{re.escape(_MARKS)}])*[{re.escape(_CLOSE)}]*")
 _THAI = "ก-๛"
 _ANY_THAI = re.compile(f"[{_THAI}]")
 _GREEK = re.compile("[Ͱ-Ͽ]{2}")

@@ -173,3 +173,13 @@ def test_accuracy_on_held_out_texts(model):
         got = set(cut(model, text))
         right, found, made = right + len(got & set(parts)), found + len(got), made + len(parts)
     assert right / found > 0.97 and right / made > 0.97
+
+
+def test_a_break_of_two_characters_is_one():
+    for text, want in (("a\r\nb", 1), ("a\r\n\r\nb", 2), ("a\rb", 1), ("a\r\rb", 2), ("a\n \t\nb", 2), ("a b", 2)):
+        assert len(sentences._blocks(text)) == want
+
+
+def test_addresses_of_any_host_hold_no_boundary(model):
+    text = "See help.host.anywhere/a.B and write to x@y.Zed now. Then wait for the reply of the desk."
+    assert [text[a:b] for a, b in model.units(text)][0] == "See help.host.anywhere/a.B and write to x@y.Zed now."
